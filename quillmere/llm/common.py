@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Rows below which a table of (long id, small value) rows may be broadcast: at most some 32 MB.
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of one Arrow batch: long texts must not add up in a worker.
+ARROW_ROWS = 1024
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to ``ARROW_ROWS`` rows, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder in the cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -82,7 +92,3 @@ def labelled(docs: DataFrame, labels: DataFrame, id_column: str, value: str, col
     if side.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     return docs.select(*columns).join(side, id_column)
-
-
-def local_temp() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
