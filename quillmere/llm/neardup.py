@@ -144,6 +144,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both signatures those within DISTANCE."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SYMBOLS) for c in ("xa", "xb"))
+        yield batch.filter(pa.array((x != y).sum(axis=1) <= DISTANCE)).select(["a", "b"])
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Of pairs (a, b) of document ids those with 100 * intersection >= 75 * union of the full sets; written."""
     pairs = written(pairs, "pairs")
@@ -183,11 +190,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sizes = reps.select(F.col("rep"), F.col("n_shingles").alias("n"), "sig")
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     fits = (
-        star.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+        star.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("xa")), "a")
+        .join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("xb")), "b")
         .where(F.lit(100) * F.least("na", "nb") >= F.lit(75) * F.greatest("na", "nb"))
+        .select("a", "b", "xa", "xb").mapInArrow(_near, "a long, b long")
     )
-    first = components(_confirmed(fits.select("a", "b"), texts, width))
+    first = components(_confirmed(fits, texts, width))
 
     # what still lies apart under one key
     placed = members.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
