@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_batches
 from .decontam import contamination
 from .neardup import near_duplicates
+from .toxicity import fit as fit_toxicity
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
