@@ -9,10 +9,12 @@ error), and all pairs within distance 31 meet under some key.  At similarity
 0.75 the distance is binomial(64, 0.25): it exceeds 31 with probability about
 2e-5, and less for closer texts.  Links are confirmed on full shingle sets.
 
-Hot keys: a star around each key's smallest document is tested first, which
-joins a group of near copies in linear work.  What then still lies in different
-components under one key is compared by signature in fixed blocks, inside numpy,
-and only pairs within the distance leave the block.
+Hot keys.  Keys with a few members compare them all by signature.  Keys with more
+first give a spanning tree by signature distance (at most one pair for each
+member), whose confirmed pairs join a group of near copies in linear
+work.  What then still lies in different components under such a key is compared in
+fixed blocks, inside numpy, also by a longer signature whose bound is 4.5
+standard deviations below similarity 0.75.  A pair leaves only the first key it shares.
 """
 
 from __future__ import annotations
@@ -30,17 +32,29 @@ from .components import components
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 1
 DISTANCE = SYMBOLS // CHUNK * (ERRORS + 1) - 1
-#: Documents of one block of a hot key.
-BLOCK = 1024
+#: Documents of one block of a hot key; members up to which a key compares all pairs at once.
+BLOCK, FEW = 1024, 8
+#: Symbols (8 bits) of the long signature and the agreements that a pair needs: 192 expected at 0.75, less 4.5 x 6.9.
+LONG, LONG_AGREE = 256, 161
 _MULTIPLIERS = W.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
+_LONG_MULTIPLIERS = W.mix(np.arange(10_001, 10_001 + LONG, dtype=np.uint64)) | np.uint64(1)
+
+
+def _least(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(least, (multipliers[:, None] * shingles[None, i : i + 1024]).min(axis=1), out=least)
+    return least
 
 
 def signature(shingles: np.ndarray) -> bytes:
     """64 symbols of 16 bits of a non-empty set of 64-bit hashes."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        np.minimum(least, (_MULTIPLIERS[:, None] * shingles[None, i : i + 4096]).min(axis=1), out=least)
-    return (least >> np.uint64(48)).astype("<u2").tobytes()
+    return (_least(shingles, _MULTIPLIERS) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def long_signature(shingles: np.ndarray) -> bytes:
+    """256 symbols of 8 bits, independent of the signature."""
+    return (W.mix(_least(shingles, _LONG_MULTIPLIERS)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -66,7 +80,7 @@ def _sign(width: int):
 
 
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
-    """64-bit keys (rows, SYMBOLS): every chunk with each of its symbols left out."""
+    """64-bit keys (rows, SYMBOLS): every chunk with each of its symbols left out; the low 6 bits number the key."""
     keys = np.empty(sigs.shape, np.uint64)
     for c in range(0, SYMBOLS, CHUNK):
         for out in range(CHUNK):
@@ -74,7 +88,7 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
             for j in range(CHUNK):
                 if j != out:
                     key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + sigs[:, c + j].astype(np.uint64))
-            keys[:, c + out] = key
+            keys[:, c + out] = (key & ~np.uint64(63)) | np.uint64(c + out)
     return keys
 
 
@@ -85,7 +99,6 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
             ids = part.column("rep").to_numpy()
             keys = chunk_keys(sigs)
-            # equal keys of one document (equal symbols left out) are harmless: they count as one member twice
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, SYMBOLS))], ["key", "rep"])
 
 
@@ -100,64 +113,121 @@ def _shingle_sets(width: int):
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within DISTANCE and of different components, from rows sorted by (key, bi, bj)."""
-
-    def pairs(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        comp, side = g["component"], g["side"]
-        if len(comp) < 2 or (comp == comp[0]).all():
-            return None
-        names, sizes = np.unique(comp, return_counts=True)
-        rows = np.flatnonzero(comp != names[sizes.argmax()])  # each pair of different components has one of these
-        a, b = [], []
-        for at in range(0, len(rows), 64):
-            r = rows[at : at + 64]
-            fit = (comp[r][:, None] != comp[None, :]) & ((side[r][:, None] != side[None, :]) | (g["bi"][0] == g["bj"][0]))
-            n = g["n"].astype(np.float64)
-            fit &= np.minimum(n[r][:, None], n[None, :]) * 100 >= 75 * np.maximum(n[r][:, None], n[None, :])
-            i, j = np.nonzero(fit)
-            for s in range(0, len(i), 1 << 16):
-                i2, j2 = r[i[s : s + (1 << 16)]], j[s : s + (1 << 16)]
-                near = (g["sig"][i2] != g["sig"][j2]).sum(axis=1) <= DISTANCE
-                a.append(g["rep"][i2[near]])
-                b.append(g["rep"][j2[near]])
-        if not sum(map(len, a)):
-            return None
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+def _longer(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sets in _sets(batch, width):
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([long_signature(s) for s in sets], pa.binary())], ["id", "long"])
+
+    return run
+
 
+def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of the first key that two signatures (rows) share; they share one."""
+    same = (x == y).reshape(-1, SYMBOLS // CHUNK, CHUNK)
+    n = same.sum(axis=2)
+    chunk = (n >= CHUNK - ERRORS).argmax(axis=1)
+    own = same[np.arange(len(x)), chunk]
+    return chunk * CHUNK + np.where(own.all(axis=1), 0, own.argmin(axis=1))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], binary: dict[str, str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Whole groups of sorted rows: columns, and the bounds of the groups in them."""
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = {c: batch.column(c).to_numpy() for c in ("key", "bi", "bj", "side", "rep", "component", "n")}
-        new["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
+        new = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), binary[c]).reshape(batch.num_rows, -1) if c in binary else batch.column(c).to_numpy() for c in batch.schema.names}
         g = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-        change = np.flatnonzero((g["key"][1:] != g["key"][:-1]) | (g["bi"][1:] != g["bi"][:-1]) | (g["bj"][1:] != g["bj"][:-1])) + 1
-        bounds = [0, *change.tolist()]
-        for s, e in zip(bounds, bounds[1:]):
-            if (out := pairs({c: v[s:e] for c, v in g.items()})) is not None:
-                yield out
-        held = {c: v[bounds[-1] :] for c, v in g.items()}
-    if held is not None and (out := pairs(held)) is not None:
-        yield out
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both signatures those within DISTANCE."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SYMBOLS) for c in ("xa", "xb"))
-        yield batch.filter(pa.array((x != y).sum(axis=1) <= DISTANCE)).select(["a", "b"])
+        change = np.flatnonzero(np.logical_or.reduce([g[c][1:] != g[c][:-1] for c in by])) + 1
+        if len(change):
+            yield {c: v[: change[-1]] for c, v in g.items()}, np.concatenate([[0], change])
+        held = {c: v[change[-1] if len(change) else 0 :] for c, v in g.items()}
+    if held is not None:
+        yield held, np.array([0, len(held[by[0]])])
+
+
+def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Set sizes that allow similarity 0.75."""
+    return np.minimum(n, m) * 100 >= 75 * np.maximum(n, m)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (key, block): all near pairs of small groups, a spanning forest of near pairs of larger ones."""
+    for g, bounds in _groups(batches, ("key", "block"), {"sig": "<u2"}):
+        size = np.diff(bounds)
+        few = np.repeat(size <= FEW, size)
+        group = np.repeat(np.arange(len(size)), size)
+        number = (g["key"] & 63).astype(np.int64)
+        for shift in range(1, FEW):
+            i = np.flatnonzero(few[:-shift] & (group[:-shift] == group[shift:])) if len(few) > shift else []
+            for s in range(0, len(i), 1 << 14):
+                x = i[s : s + (1 << 14)]
+                y = x + shift
+                near = _fits(g["n"][x], g["n"][y]) & ((g["sig"][x] != g["sig"][y]).sum(axis=1) <= DISTANCE)
+                x, y = x[near], y[near]
+                x, y = (z[_first_key(g["sig"][x], g["sig"][y]) == number[x]] for z in (x, y))
+                yield _pairs(g["rep"][x], g["rep"][y])
+        for k in np.flatnonzero(size > FEW):
+            sig, rep, n = (g[c][bounds[k] : bounds[k + 1]] for c in ("sig", "rep", "n"))
+            best, via = np.full(len(rep), SYMBOLS + 1), np.zeros(len(rep), np.int64)
+            left, now, a, b = np.ones(len(rep), bool), 0, [], []
+            for _ in range(len(rep) - 1):  # Prim's algorithm
+                left[now] = False
+                far = np.where(_fits(n, n[now]), (sig != sig[now]).sum(axis=1), SYMBOLS + 1)
+                closer = far < best
+                best[closer], via[closer] = far[closer], now
+                now = int(np.where(left, best, SYMBOLS + 2).argmin())
+                if best[now] <= DISTANCE:
+                    a.append(rep[now]), b.append(rep[via[now]])
+            if a:
+                yield _pairs(np.array(a), np.array(b))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs near by both signatures and of different components, from rows sorted by (key, bi, bj)."""
+    for every, bounds in _groups(batches, ("key", "bi", "bj"), {"sig": "<u2", "long": "u1"}):
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            g = {c: v[s:e] for c, v in every.items()}
+            comp, number = g["component"], int(g["key"][0] & 63)
+            names, sizes = np.unique(comp, return_counts=True)
+            if len(names) < 2:
+                continue
+            rows = np.flatnonzero(comp != names[sizes.argmax()])  # each pair of different components has one of these
+            last = np.full(len(comp), -1)
+            last[rows] = rows
+            for at in range(0, len(rows), 64):
+                r = rows[at : at + 64]
+                fit = (comp[r][:, None] != comp[None, :]) & (last[None, :] < r[:, None]) & _fits(g["n"][r][:, None], g["n"][None, :])
+                if g["bi"][0] != g["bj"][0]:
+                    fit &= g["side"][r][:, None] != g["side"][None, :]
+                i, j = np.nonzero(fit)
+                for t in range(0, len(i), 1 << 14):
+                    x, y = r[i[t : t + (1 << 14)]], j[t : t + (1 << 14)]
+                    near = (g["sig"][x] != g["sig"][y]).sum(axis=1) <= DISTANCE
+                    x, y = x[near], y[near]
+                    near = (g["long"][x] == g["long"][y]).sum(axis=1) >= LONG_AGREE
+                    x, y = x[near], y[near]
+                    x, y = (z[_first_key(g["sig"][x], g["sig"][y]) == number] for z in (x, y))
+                    if len(x):
+                        yield _pairs(g["rep"][x], g["rep"][y])
+
+
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents; their ids are broadcast only while they are few."""
+    ids = written(ids, "ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Of pairs (a, b) of document ids those with 100 * intersection >= 75 * union of the full sets; written."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "id long, items array<long>")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _of(texts, ids).mapInArrow(_shingle_sets(width), "id long, items array<long>")
     joined = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
@@ -188,26 +258,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     members = written(keys.join(shared.drop("last"), "key"), "members")
 
     sizes = reps.select(F.col("rep"), F.col("n_shingles").alias("n"), "sig")
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    fits = (
-        star.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("xa")), "a")
-        .join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("xb")), "b")
-        .where(F.lit(100) * F.least("na", "nb") >= F.lit(75) * F.greatest("na", "nb"))
-        .select("a", "b", "xa", "xb").mapInArrow(_near, "a long, b long")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    # a key's smallest document stands in all of its blocks
+    blocked = members.withColumn("block", F.explode(F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(side))))
+    forest = (
+        blocked.join(sizes, "rep").select("key", "block", "rep", "n", "sig")
+        .repartition("key", "block").sortWithinPartitions("key", "block")
+        .mapInArrow(_forest, "a long, b long").distinct()
     )
-    first = components(_confirmed(fits, texts, width))
+    first = components(_confirmed(forest, texts, width))
 
-    # what still lies apart under one key
-    placed = members.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    placed = written(placed, "placed")
+    # what still lies apart under one of the larger keys
+    placed = written(
+        members.where(F.col("members") > FEW).join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component")),
+        "placed",
+    )
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    apart = written(placed.join(split, "key").join(sizes, "rep"), "apart")
+    longer = _of(texts, apart.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_longer(width), "id long, long binary")
     rows = (
-        placed.join(split, "key").distinct()
-        .join(sizes, "rep")
-        .withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        apart.join(longer.withColumnRenamed("id", "rep").dropDuplicates(["rep"]), "rep")
+        .withColumn("side", side)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "rep", "component", "n", "sig")
+        .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "rep", "component", "n", "sig", "long")
     )
     across = (
         rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
