@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_batches
+from .common import arrow_batches, scratch
 from .decontam import contamination
 from .neardup import near_duplicates
+from .tokens import pack, token_digest, write_tokens
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
 
@@ -16,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The word vocabulary of the public tokenizer files, wherever they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_digest(write_tokens(docs, scratch(spark, "tokens"), tokenizer_path(), end_id=1, metadata=("lang", "source")))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +47,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_id_output": op1_token_id_output,
+    "op4_packing": op4_packing,
     "op10_toxicity": op10_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
