@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid
+from . import quality as quality_network
 from .common import arrow_batches, scratch
 from .decontam import contamination
 from .neardup import near_duplicates
@@ -29,6 +31,16 @@ def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(write_tokens(docs, scratch(spark, "tokens"), tokenizer_path(), end_id=1, metadata=("lang", "source")))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_network.quality(docs, quality_network.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -48,6 +60,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_id_output": op1_token_id_output,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
     "op10_toxicity": op10_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,

@@ -32,7 +32,7 @@ ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Ids of a packed sequence.
 LENGTH = 4096
 #: Pieces that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -58,17 +58,53 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
+    @staticmethod
+    def _stem(piece: str) -> tuple[str, str]:
+        """A piece without one final stop or comma after an ASCII letter, and that mark; pure ASCII letters in lower case.
+
+        Letters and marks are never in one token, and the vocabulary ignores case.
+        """
+        mark = ""
+        if piece[-1] in ".," and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
+            piece, mark = piece[:-1], piece[-1]
+        return (piece.lower() if piece.isascii() and piece.isalpha() else piece), mark
+
     def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids, n = found.ids, len(self.place)
-            if n >= len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[piece] = n
+        stems = [self._stem(p) for p in pieces]
+        new = list(dict.fromkeys(x for x in (*".,", *(s for s, _ in stems)) if x not in self.place))
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            found = self.tokenizer.encode_batch([" ".join(part[k : k + 256]) for k in range(0, len(part), 256)], add_special_tokens=False)
+            for k, one in enumerate(found):
+                own = part[k * 256 : k * 256 + 256]
+                ids = np.array(one.ids, np.uint32)
+                starts = np.fromiter((x for x, _ in one.offsets), np.int64, len(ids))
+                ends = np.cumsum([len(x) + 1 for x in own])
+                self._add(own, ids, np.diff(np.searchsorted(starts, ends), prepend=0))
+        kept = [(p, s, m) for p, (s, m) in zip(pieces, stems) if p not in self.place]
+        if kept:
+            at = np.array([self.place[s] for _, s, _ in kept])
+            mark = [self.place[m] for _, _, m in kept]
+            size, more = self.size[at], self.size[mark]
+            total = np.cumsum(size + more)
+            ids = np.empty(total[-1], np.uint32)
+            begin = total - size - more
+            for source, n, to in ((self.start[at], size, begin), (self.start[mark], more, begin + size)):
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                ids[np.repeat(to, n) + step] = self.ids[np.repeat(source, n) + step]
+            self._add([p for p, _, _ in kept], ids, size + more)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n, m = len(self.place), len(pieces)
+        while n + m > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m] = self.used + np.cumsum(size) - size
+        self.size[n : n + m] = size
+        self.used += len(ids)
+        self.place.update(zip(pieces, range(n, n + m)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and the n+1 offsets of the texts."""
