@@ -13,8 +13,9 @@ Hot keys.  Keys with a few members compare them all by signature.  Keys with mor
 first give a spanning tree by signature distance (at most one pair for each
 member), whose confirmed pairs join a group of near copies in linear
 work.  What then still lies in different components under such a key is compared in
-fixed blocks, inside numpy, also by a longer signature whose bound is 4.5
-standard deviations below similarity 0.75.  A pair leaves only the first key it shares.
+fixed blocks, inside numpy, by signature and by the sets themselves in shortened
+form, which can only overstate what two sets share.  A pair leaves only the first
+key it shares.
 """
 
 from __future__ import annotations
@@ -34,27 +35,17 @@ SYMBOLS, CHUNK, ERRORS = 64, 4, 1
 DISTANCE = SYMBOLS // CHUNK * (ERRORS + 1) - 1
 #: Documents of one block of a hot key; members up to which a key compares all pairs at once.
 BLOCK, FEW = 1024, 8
-#: Symbols (8 bits) of the long signature and the agreements that a pair needs: 192 expected at 0.75, less 4.5 x 6.9.
-LONG, LONG_AGREE = 256, 161
+#: Shingles of the sets that travel in shortened form (4 bytes each); pairs of larger sets are left to the full check.
+SHORT = 4096
 _MULTIPLIERS = W.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
-_LONG_MULTIPLIERS = W.mix(np.arange(10_001, 10_001 + LONG, dtype=np.uint64)) | np.uint64(1)
-
-
-def _least(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(least, (multipliers[:, None] * shingles[None, i : i + 1024]).min(axis=1), out=least)
-    return least
 
 
 def signature(shingles: np.ndarray) -> bytes:
     """64 symbols of 16 bits of a non-empty set of 64-bit hashes."""
-    return (_least(shingles, _MULTIPLIERS) >> np.uint64(48)).astype("<u2").tobytes()
-
-
-def long_signature(shingles: np.ndarray) -> bytes:
-    """256 symbols of 8 bits, independent of the signature."""
-    return (W.mix(_least(shingles, _LONG_MULTIPLIERS)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(least, (_MULTIPLIERS[:, None] * shingles[None, i : i + 1024]).min(axis=1), out=least)
+    return (least >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -113,11 +104,11 @@ def _shingle_sets(width: int):
     return run
 
 
-def _longer(width: int):
+def _shortened(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([long_signature(s) for s in sets], pa.binary())], ["id", "long"])
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([np.unique(s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SHORT else b"" for s in sets], pa.binary())], ["id", "short"])
 
     return run
 
@@ -135,20 +126,25 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], binary: dict[str, str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Whole groups of sorted rows: columns, and the bounds of the groups in them."""
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows, sorted by ``by``, as arrays that hold whole groups; with ``bounds`` of these."""
     held: dict[str, np.ndarray] | None = None
+
+    def cut(g: dict[str, np.ndarray], change: np.ndarray) -> dict[str, np.ndarray]:
+        return {c: v[: change[-1]] for c, v in g.items()} | {"bounds": np.concatenate([[0], change])}
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), binary[c]).reshape(batch.num_rows, -1) if c in binary else batch.column(c).to_numpy() for c in batch.schema.names}
+        new = {c: np.array(batch.column(c).to_pylist(), object) if c == "short" else batch.column(c).to_numpy() for c in batch.schema.names if c != "sig"}
+        new["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
         g = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
         change = np.flatnonzero(np.logical_or.reduce([g[c][1:] != g[c][:-1] for c in by])) + 1
         if len(change):
-            yield {c: v[: change[-1]] for c, v in g.items()}, np.concatenate([[0], change])
-        held = {c: v[change[-1] if len(change) else 0 :] for c, v in g.items()}
+            yield cut(g, change)
+        held = {c: v[change[-1] if len(change) else 0 :].copy() for c, v in g.items()}
     if held is not None:
-        yield held, np.array([0, len(held[by[0]])])
+        yield cut(held, np.array([len(held["rep"])]))
 
 
 def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -158,7 +154,8 @@ def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, block): all near pairs of small groups, a spanning forest of near pairs of larger ones."""
-    for g, bounds in _groups(batches, ("key", "block"), {"sig": "<u2"}):
+    for g in _groups(batches, ("key", "block")):
+        bounds = g["bounds"]
         size = np.diff(bounds)
         few = np.repeat(size <= FEW, size)
         group = np.repeat(np.arange(len(size)), size)
@@ -189,10 +186,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs near by both signatures and of different components, from rows sorted by (key, bi, bj)."""
-    for every, bounds in _groups(batches, ("key", "bi", "bj"), {"sig": "<u2", "long": "u1"}):
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            g = {c: v[s:e] for c, v in every.items()}
+    """Pairs of different components, near by signature and by their shortened sets, from rows sorted by (key, bi, bj)."""
+    for every in _groups(batches, ("key", "bi", "bj")):
+        for s, e in zip(every["bounds"][:-1], every["bounds"][1:]):
+            g = {c: v[s:e] for c, v in every.items() if c != "bounds"}
             comp, number = g["component"], int(g["key"][0] & 63)
             names, sizes = np.unique(comp, return_counts=True)
             if len(names) < 2:
@@ -200,21 +197,33 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(comp != names[sizes.argmax()])  # each pair of different components has one of these
             last = np.full(len(comp), -1)
             last[rows] = rows
-            for at in range(0, len(rows), 64):
-                r = rows[at : at + 64]
-                fit = (comp[r][:, None] != comp[None, :]) & (last[None, :] < r[:, None]) & _fits(g["n"][r][:, None], g["n"][None, :])
+            own = [np.frombuffer(x, "<u4") for x in g["short"]]
+            size = np.array([len(x) for x in own])
+            bound = np.concatenate([[0], np.cumsum(size)])
+            kinds, code = np.unique(np.concatenate(own), return_inverse=True)
+            mark = np.zeros(len(kinds), bool)
+            a, b = [], []
+            for r in rows:
+                fit = (comp != comp[r]) & (last < r) & _fits(g["n"], g["n"][r])
                 if g["bi"][0] != g["bj"][0]:
-                    fit &= g["side"][r][:, None] != g["side"][None, :]
-                i, j = np.nonzero(fit)
-                for t in range(0, len(i), 1 << 14):
-                    x, y = r[i[t : t + (1 << 14)]], j[t : t + (1 << 14)]
-                    near = (g["sig"][x] != g["sig"][y]).sum(axis=1) <= DISTANCE
-                    x, y = x[near], y[near]
-                    near = (g["long"][x] == g["long"][y]).sum(axis=1) >= LONG_AGREE
-                    x, y = x[near], y[near]
-                    x, y = (z[_first_key(g["sig"][x], g["sig"][y]) == number] for z in (x, y))
-                    if len(x):
-                        yield _pairs(g["rep"][x], g["rep"][y])
+                    fit &= g["side"] != g["side"][r]
+                y = np.flatnonzero(fit)
+                y = y[(g["sig"][y] != g["sig"][r]).sum(axis=1) <= DISTANCE]
+                if not len(y):
+                    continue
+                if size[r]:
+                    mark[code[bound[r] : bound[r + 1]]] = True
+                    total = np.concatenate([[0], np.cumsum(mark[code])])
+                    mark[code[bound[r] : bound[r + 1]]] = False
+                    both = total[bound[y + 1]] - total[bound[y]]
+                    # shared shingles are at most the shared short forms plus those that fell together in a set
+                    both = both + g["n"][y] - size[y]
+                    y = y[(size[y] == 0) | (100 * both >= 75 * (g["n"][y] + g["n"][r] - both))]
+                a.append(np.full(len(y), r)), b.append(y)
+            if a:
+                x, y = np.concatenate(a), np.concatenate(b)
+                first = _first_key(g["sig"][x], g["sig"][y]) == number
+                yield _pairs(g["rep"][x[first]], g["rep"][y[first]])
 
 
 def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -276,12 +285,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     apart = written(placed.join(split, "key").join(sizes, "rep"), "apart")
-    longer = _of(texts, apart.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_longer(width), "id long, long binary")
+    short = _of(texts, apart.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_shortened(width), "id long, short binary")
     rows = (
-        apart.join(longer.withColumnRenamed("id", "rep").dropDuplicates(["rep"]), "rep")
+        apart.join(short.groupBy(F.col("id").alias("rep")).agg(F.when(F.count("*") == 1, F.min("short")).otherwise(F.lit(b"")).alias("short")), "rep")
         .withColumn("side", side)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "rep", "component", "n", "sig", "long")
+        .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "rep", "component", "n", "sig", "short")
     )
     across = (
         rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
