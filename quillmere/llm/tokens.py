@@ -1,9 +1,10 @@
 """Token ids of whole texts, as Parquet tables with list columns, and their packing.
 
-Encoding: a text is cut at spaces and line feeds.  The word vocabulary drops white
-space and no token or normalisation step crosses it, so the ids of a text are
-the ids of its pieces in turn; each worker lets the tokenizers library encode
-every distinct piece once and remembers the ids of recent ones.
+Encoding: a text is cut at spaces and line feeds, and before a stop or comma that
+stands alone between an ASCII letter and white space.  The word vocabulary drops
+white space and case, and no token or normalisation step crosses these cuts, so the
+ids of a text are the ids of its pieces in turn; each worker lets the tokenizers
+library encode every distinct piece once and remembers the ids of recent ones.
 ``encode_whole`` has the plain call for vocabularies without this property.
 
 Files: Spark's Parquet writer with dictionary or delta encoding (writer version 2),
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, slices
+from .common import raw_text, scratch, slices
 
 #: Row-group and page sizes of token files, in bytes.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
@@ -46,7 +48,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {"": 0}
+        self.place: dict[bytes, int] = {b"": 0}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
@@ -58,43 +60,17 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    @staticmethod
-    def _stem(piece: str) -> tuple[str, str]:
-        """A piece without one final stop or comma after an ASCII letter, and that mark; pure ASCII letters in lower case.
-
-        Letters and marks are never in one token, and the vocabulary ignores case.
-        """
-        mark = ""
-        if piece[-1] in ".," and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
-            piece, mark = piece[:-1], piece[-1]
-        return (piece.lower() if piece.isascii() and piece.isalpha() else piece), mark
-
-    def _learn(self, pieces: list[str]) -> None:
-        stems = [self._stem(p) for p in pieces]
-        new = list(dict.fromkeys(x for x in (*".,", *(s for s, _ in stems)) if x not in self.place))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+    def _learn(self, pieces: list[bytes]) -> None:
+        for i in range(0, len(pieces), 4096):
+            part = [p.decode() for p in pieces[i : i + 4096]]
             found = self.tokenizer.encode_batch([" ".join(part[k : k + 256]) for k in range(0, len(part), 256)], add_special_tokens=False)
-            for k, one in enumerate(found):
-                own = part[k * 256 : k * 256 + 256]
+            for k, one in zip(range(0, len(part), 256), found):
                 ids = np.array(one.ids, np.uint32)
                 starts = np.fromiter((x for x, _ in one.offsets), np.int64, len(ids))
-                ends = np.cumsum([len(x) + 1 for x in own])
-                self._add(own, ids, np.diff(np.searchsorted(starts, ends), prepend=0))
-        kept = [(p, s, m) for p, (s, m) in zip(pieces, stems) if p not in self.place]
-        if kept:
-            at = np.array([self.place[s] for _, s, _ in kept])
-            mark = [self.place[m] for _, _, m in kept]
-            size, more = self.size[at], self.size[mark]
-            total = np.cumsum(size + more)
-            ids = np.empty(total[-1], np.uint32)
-            begin = total - size - more
-            for source, n, to in ((self.start[at], size, begin), (self.start[mark], more, begin + size)):
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                ids[np.repeat(to, n) + step] = self.ids[np.repeat(source, n) + step]
-            self._add([p for p, _, _ in kept], ids, size + more)
-
-    def _add(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+                ends = np.cumsum([len(x) + 1 for x in part[k : k + 256]])
+                self._add(pieces[i + k : i + k + 256], ids, np.diff(np.searchsorted(starts, ends), prepend=0))
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         n, m = len(self.place), len(pieces)
         while n + m > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
@@ -106,24 +82,39 @@ class Encoder:
         self.used += len(ids)
         self.place.update(zip(pieces, range(n, n + m)))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn, and the n+1 offsets of the texts."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as UTF-8 bytes and n+1 offsets, in turn, and the n+1 offsets of the texts' ids."""
         if len(self.place) > REMEMBERED:
             self._forget()
-        pieces: list[str] = []
-        ends = [0]
-        for text in texts:
-            pieces += text.replace("\n", " ").split(" ")
-            ends.append(len(pieces))
-        at = list(map(self.place.get, pieces))
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, i in zip(pieces, at) if i is None)))
-            at = list(map(self.place.__getitem__, pieces))
-        at = np.array(at, np.int64)
+        n = len(data)
+        if not n:
+            return self.ids[:0], np.zeros(len(offsets), np.int64)
+        upper = (data >= 0x41) & (data <= 0x5A)
+        upper[:-1] &= data[1:] < 0x80  # a mark may compose with the capital alone
+        if (data[:-1] == 0x3C)[data[1:] == 0x7C].any():  # "<|" may begin a special token, where case counts
+            upper[:] = False
+        low = np.where(upper, data | 0x20, data)
+        white = (low == 0x20) | (low == 0x0A)
+        letter = (low >= 0x61) & (low <= 0x7A)
+        cut = np.zeros(n + 1, bool)
+        cut[1:-2] = letter[:-2] & ((low[1:-1] == 0x2E) | (low[1:-1] == 0x2C)) & white[2:]
+        cut[offsets[1:]] = True  # a space ends each text
+        places = np.flatnonzero(cut)
+        spaced = np.insert(low, places, 0x20)
+        after = offsets + np.searchsorted(places, offsets, "right")
+        blank = np.concatenate([[0], np.cumsum((spaced == 0x20) | (spaced == 0x0A))])
+        first = blank[np.minimum(after, len(spaced))]
+        first[offsets == 0] = 0
+        pieces = spaced.tobytes().replace(b"\n", b" ").split(b" ")
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(map(pieces.__getitem__, missing))))
+            at[missing] = np.fromiter(map(self.place.__getitem__, map(pieces.__getitem__, missing)), np.int64, len(missing))
         size = self.size[at]
         before = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
-        return flat, before[ends]
+        return flat, before[first]
 
 
 def encode_whole(path: str, texts: list[str]) -> list[list[int]]:
@@ -138,7 +129,7 @@ def _encode(path: str, end_id: int, keep: list[str]):
         part_number, before, encoder = TaskContext.get().partitionId(), 0, Encoder.of(path)
         for batch in batches:
             for part in slices(batch):
-                flat, offsets = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                flat, offsets = encoder.encode(*raw_text(part.column("text")))
                 n = len(offsets) - 1
                 ends = offsets + np.arange(n + 1)  # with one end id for each document
                 ids = np.insert(flat, offsets[1:], end_id).astype(np.int32)
