@@ -8,6 +8,7 @@ from . import langid, secrets
 from . import quality as quality_network
 from .common import arrow_batches, scratch
 from .decontam import contamination
+from .licenses import license_scan
 from .neardup import near_duplicates
 from .rules import quality_rules
 from .tokens import pack, token_digest, write_tokens
@@ -46,6 +47,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"), secrets.fit(secrets.default_samples(spark)))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_license_scans": op5_license_scans,
     "op6_secret_scans": op6_secret_scans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
