@@ -135,19 +135,23 @@ def secret_scan(docs: DataFrame, table: list[float], id_column: str = "doc_id",
     return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(_named(base).cast("binary"), 256).alias("base_sha256"), _named(KINDS).alias("spans"))
 
 
-def redact(docs: DataFrame, table: list[float], text_column: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` (spans that touch or overlap: one mark); other texts and columns are unchanged."""
+def redact(docs: DataFrame, table: list[float], text_column: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD, before: str | None = None) -> DataFrame:
+    """``docs`` with every span replaced by ``mark`` (spans that overlap: one mark); other texts and columns are unchanged.
+
+    ``before`` names a further column with the text as it was.
+    """
     columns = docs.columns
     row = docs.select(F.struct(*columns).alias("_row"), F.col(text_column).cast("string").alias("_body"))
     found = detect(row, table, "_body", "_body", threshold, keep=("_row",))
-    every = F.array_sort(F.concat(*(F.col(k) for k in KINDS)))
+    found = found.withColumn("every", F.array_sort(F.concat(*(F.col(k) for k in KINDS))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     joined = F.aggregate(
-        every, start,
+        "every", start,
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"))
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1))),
     )
-    clean = F.when(F.size(every) > 0, joined)
-    return found.select("_row", clean.alias("_clean")).select(*(F.coalesce("_clean", F.col("_row")[c]).alias(c) if c == text_column else F.col("_row")[c].alias(c) for c in columns))
+    found = found.select("_row", F.when(F.size("every") > 0, joined).otherwise(F.col("_row")[text_column]).alias("_clean"))
+    kept = [F.col("_clean" if c == text_column else f"_row.`{c}`").alias(c) for c in columns]
+    return found.select(*kept, *([F.col("_row")[text_column].alias(before)] if before else []))
