@@ -33,8 +33,10 @@ from .common import raw_text, scratch, slices
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Ids of a packed sequence.
 LENGTH = 4096
+#: Text bytes that are encoded at once.
+ENCODE_BYTES = 256 << 10
 #: Pieces that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -52,8 +54,19 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
+        self.seen = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _thin(self) -> None:
+        """Keep the pieces met most often since the last time, at most half of what may be remembered."""
+        pieces, ids, start, size, seen = list(self.place), self.ids, self.start, self.size, self.seen[: len(self.place)]
+        least = max(3, int(np.partition(seen, -REMEMBERED // 2)[-REMEMBERED // 2]) + 1) if len(seen) > REMEMBERED // 2 else 3
+        self._forget()
+        for k in np.array_split(kept := np.flatnonzero(seen[1:] >= least) + 1, max(1, len(kept) >> 14)):
+            n = size[k]
+            flat = ids[np.repeat(start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            self._add([pieces[i] for i in k.tolist()], flat, n)
+
     @staticmethod
     def of(path: str) -> Encoder:
         if path not in _ENCODERS:
@@ -73,7 +86,7 @@ class Encoder:
     def _add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         n, m = len(self.place), len(pieces)
         while n + m > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -85,7 +98,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts given as UTF-8 bytes and n+1 offsets, in turn, and the n+1 offsets of the texts' ids."""
         if len(self.place) > REMEMBERED:
-            self._forget()
+            self._thin()
         n = len(data)
         if not n:
             return self.ids[:0], np.zeros(len(offsets), np.int64)
@@ -111,6 +124,7 @@ class Encoder:
         if missing:
             self._learn(list(dict.fromkeys(map(pieces.__getitem__, missing))))
             at[missing] = np.fromiter(map(self.place.__getitem__, map(pieces.__getitem__, missing)), np.int64, len(missing))
+        self.seen += np.bincount(at, minlength=len(self.seen))
         size = self.size[at]
         before = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
@@ -128,7 +142,7 @@ def _encode(path: str, end_id: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_number, before, encoder = TaskContext.get().partitionId(), 0, Encoder.of(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=ENCODE_BYTES):
                 flat, offsets = encoder.encode(*raw_text(part.column("text")))
                 n = len(offsets) - 1
                 ends = offsets + np.arange(n + 1)  # with one end id for each document
