@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, secrets
+from . import langid, oracles, secrets
 from . import quality as quality_network
 from .common import arrow_batches, scratch
 from .decontam import contamination
@@ -85,4 +85,8 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_benchmark_decontamination": oracles.OP7,
+    "op8_quality_rules": oracles.OP8,
+    "op9_minhash_near_dedup": oracles.OP9,
+}
