@@ -150,7 +150,7 @@ LICENCES = (
 
 #: Rules that the regular expressions of one licence's name and tag take part in: (form, confidence); {0} is the name or tag.
 _NAME_FORMS = (("(licensed|released|distributed|available|published) under( the terms of)? (the )?{0}", 1.0), ("{0}", 0.8))
-_TAG_FORMS = ((r"spdx license identifier:?\s*{0}", 1.0), (r"licen[sc]e[:=]? ?[\"']?{0}", 0.9))
+_TAG_FORMS = ((r"spdx license identifier:?\s*{0}", 1.0), (r"licen[sc]e\s*[:=]\s*[\"']?{0}", 0.9))
 
 
 def _words(pattern: str) -> str:
