@@ -21,7 +21,7 @@ WINDOW = 8
 GROUP_ROWS = 50
 #: Upper limit of a value: third quartile + FENCE * (third quartile - median) + slack; the lower one mirrors it.
 FENCE = 4
-SLACK = {"symbols": 60, "repeated": 120, "lines": 250, "length": 25}
+SLACK = {"symbols": 60, "repeated": 240, "lines": 400, "length": 25}
 GRID = 1000
 
 
