@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words as W
 from .common import raw_text, scratch, slices
 
 #: Row-group and page sizes of token files, in bytes.
@@ -35,11 +35,52 @@ ROW_GROUP, PAGE = 32 << 20, 256 << 10
 LENGTH = 4096
 #: Text bytes that are encoded at once.
 ENCODE_BYTES = 256 << 10
-#: Pieces that a worker remembers.
-REMEMBERED = 400_000
+#: A worker remembers up to half as many pieces as a table of so many bits has slots; then it starts anew.
+MEMORY_BITS = 22
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class Memory:
+    """What pieces are encoded as: an open-addressing table by 128 bits of hash, all in arrays."""
+
+    def __init__(self, bits: int):
+        self.bits, self.count, self.used = bits, 0, 0
+        self.one, self.two = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.entry = np.full(1 << bits, -1, np.int32)
+        self.start, self.size = np.zeros(1 << (bits - 1), np.int32), np.zeros(1 << (bits - 1), np.int32)
+        self.ids = np.zeros(1 << bits, np.int32)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Entry numbers, -1 for pieces not met before."""
+        out = np.full(len(one), -1, np.int64)
+        left, slot = np.arange(len(one)), (one >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            entry = self.entry[slot]
+            found = (self.one[slot] == one[left]) & (self.two[slot] == two[left]) & (entry >= 0)
+            out[left[found]] = entry[found]
+            on = ~found & (entry >= 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entry numbers of new, distinct pieces; there must be room."""
+        n = len(one)
+        entry = np.arange(self.count, self.count + n)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[entry], self.size[entry] = self.used + np.cumsum(size) - size, size
+        self.used, self.count = self.used + len(ids), self.count + n
+        left, slot = np.arange(n), (one >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            first = np.zeros(len(left), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            put = first & (self.entry[slot] < 0)
+            self.one[slot[put]], self.two[slot[put]], self.entry[slot[put]] = one[left[put]], two[left[put]], entry[left[put]]
+            left, slot = left[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
+        return entry
+
+
 class Encoder:
     """ids of texts, with a memory of the pieces between white space."""
 
@@ -47,25 +88,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {b"": 0}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
-        self.seen = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _thin(self) -> None:
-        """Keep the pieces met most often since the last time, at most half of what may be remembered."""
-        pieces, ids, start, size, seen = list(self.place), self.ids, self.start, self.size, self.seen[: len(self.place)]
-        least = max(3, int(np.partition(seen, -REMEMBERED // 2)[-REMEMBERED // 2]) + 1) if len(seen) > REMEMBERED // 2 else 3
-        self._forget()
-        for k in np.array_split(kept := np.flatnonzero(seen[1:] >= least) + 1, max(1, len(kept) >> 14)):
-            n = size[k]
-            flat = ids[np.repeat(start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            self._add([pieces[i] for i in k.tolist()], flat, n)
+        self.memory = Memory(MEMORY_BITS)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -73,62 +96,56 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        for i in range(0, len(pieces), 4096):
-            part = [p.decode() for p in pieces[i : i + 4096]]
-            found = self.tokenizer.encode_batch([" ".join(part[k : k + 256]) for k in range(0, len(part), 256)], add_special_tokens=False)
-            for k, one in zip(range(0, len(part), 256), found):
-                ids = np.array(one.ids, np.uint32)
-                starts = np.fromiter((x for x, _ in one.offsets), np.int64, len(ids))
-                ends = np.cumsum([len(x) + 1 for x in part[k : k + 256]])
-                self._add(pieces[i + k : i + k + 256], ids, np.diff(np.searchsorted(starts, ends), prepend=0))
-
-    def _add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
-        n, m = len(self.place), len(pieces)
-        while n + m > len(self.start):
-            self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[n : n + m] = self.used + np.cumsum(size) - size
-        self.size[n : n + m] = size
-        self.used += len(ids)
-        self.place.update(zip(pieces, range(n, n + m)))
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Encode distinct new pieces, many to a call; returns their entries."""
+        raw = data.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        groups = [pieces[k : k + 256] for k in range(0, len(pieces), 256)]
+        ids, sizes = [], []
+        for own, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids.append(np.array(found.ids, np.int32))
+            begins = np.fromiter((x for x, _ in found.offsets), np.int64, len(ids[-1]))
+            sizes.append(np.diff(np.searchsorted(begins, np.cumsum([len(x) + 1 for x in own])), prepend=0))
+        return self.memory.add(one, two, np.concatenate(ids), np.concatenate(sizes))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts given as UTF-8 bytes and n+1 offsets, in turn, and the n+1 offsets of the texts' ids."""
-        if len(self.place) > REMEMBERED:
-            self._thin()
-        n = len(data)
-        if not n:
-            return self.ids[:0], np.zeros(len(offsets), np.int64)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         upper = (data >= 0x41) & (data <= 0x5A)
         upper[:-1] &= data[1:] < 0x80  # a mark may compose with the capital alone
         if (data[:-1] == 0x3C)[data[1:] == 0x7C].any():  # "<|" may begin a special token, where case counts
             upper[:] = False
         low = np.where(upper, data | 0x20, data)
-        white = (low == 0x20) | (low == 0x0A)
+        white = np.ones(len(low) + 2, bool)  # with white space around
+        white[1:-1] = (low == 0x20) | (low == 0x0A)
+        inside = ~white[1:-1]
+        begins, ends = inside & white[:-2], inside & white[2:]
+        first = offsets[:-1][offsets[1:] > offsets[:-1]]
+        begins[first] = inside[first]
+        last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+        ends[last] = inside[last]
         letter = (low >= 0x61) & (low <= 0x7A)
-        cut = np.zeros(n + 1, bool)
-        cut[1:-2] = letter[:-2] & ((low[1:-1] == 0x2E) | (low[1:-1] == 0x2C)) & white[2:]
-        cut[offsets[1:]] = True  # a space ends each text
-        places = np.flatnonzero(cut)
-        spaced = np.insert(low, places, 0x20)
-        after = offsets + np.searchsorted(places, offsets, "right")
-        blank = np.concatenate([[0], np.cumsum((spaced == 0x20) | (spaced == 0x0A))])
-        first = blank[np.minimum(after, len(spaced))]
-        first[offsets == 0] = 0
-        pieces = spaced.tobytes().replace(b"\n", b" ").split(b" ")
-        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys(map(pieces.__getitem__, missing))))
-            at[missing] = np.fromiter(map(self.place.__getitem__, map(pieces.__getitem__, missing)), np.int64, len(missing))
-        self.seen += np.bincount(at, minlength=len(self.seen))
-        size = self.size[at]
+        mark = ends & ~begins & ((low == 0x2E) | (low == 0x2C))  # a stop or comma before white space or the end of the text
+        mark[1:] &= letter[:-1]
+        mark[0] = False
+        ends[:-1] |= mark[1:]
+        begins |= mark
+        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        one, two = W.hashes(low, starts, stops), W.hashes(low, starts, stops, W.SECOND)
+        at = self.memory.find(one, two)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, back = np.unique(one[missing], return_inverse=True)
+            pick = missing[np.unique(one[missing], return_index=True)[1]]
+            if self.memory.count + len(new) > (1 << (MEMORY_BITS - 1)):
+                self.memory = Memory(MEMORY_BITS if len(new) <= 1 << (MEMORY_BITS - 2) else int(len(new)).bit_length() + 2)
+                return self.encode(data, offsets)
+            at[missing] = self._learn(low, starts[pick], stops[pick], one[pick], two[pick])[back]
+        size = self.memory.size[at].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
-        return flat, before[first]
+        flat = self.memory.ids[np.repeat(self.memory.start[at] - before[:-1], size) + np.arange(before[-1])]
+        return flat, before[np.searchsorted(starts, offsets)]
 
 
 def encode_whole(path: str, texts: list[str]) -> list[list[int]]:
@@ -146,7 +163,7 @@ def _encode(path: str, end_id: int, keep: list[str]):
                 flat, offsets = encoder.encode(*raw_text(part.column("text")))
                 n = len(offsets) - 1
                 ends = offsets + np.arange(n + 1)  # with one end id for each document
-                ids = np.insert(flat, offsets[1:], end_id).astype(np.int32)
+                ids = np.insert(flat, offsets[1:], end_id)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(np.full(n, part_number, np.int32)), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
                     [*keep, "part", "part_start", "n_tokens", "ids"],

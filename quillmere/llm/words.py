@@ -14,9 +14,10 @@ import numpy as np
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_SEGMENT = 1 << 20
-_POWERS: list[np.ndarray] = []
+#: Base of a second hash, for those who need 128 bits.
+SECOND = 0xD6E8FEB86659FD93
+_SEGMENT = 1 << 18
+_POWERS: dict[int, list[np.ndarray]] = {}
 
 SPACE_WORD = np.ones(256, bool)
 SPACE_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -34,11 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, _SEGMENT + 4096)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, _INVERSE)]
-    return _POWERS[0], _POWERS[1]
+        _POWERS[base] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (base, pow(base, -1, 2**64))]
+    return _POWERS[base][0], _POWERS[base][1]
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,14 +60,14 @@ def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.n
     return s, np.flatnonzero(ends) + 1, np.searchsorted(s, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """64-bit hash of each word; ``data`` is already lower-cased."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT, "right")))
         lo, hi = starts[i], ends[j - 1]
-        up, down = _powers(int(hi - lo) + 1)
+        up, down = _powers(int(hi - lo) + 1, base)
         total = np.empty(hi - lo + 1, np.uint64)
         total[0] = 0
         np.cumsum(_VALUE[data[lo:hi]] * up[: hi - lo], out=total[1:])

@@ -179,9 +179,10 @@ def test_pieces_are_encoded_as_whole_texts(monkeypatch):
     from quillmere.llm.common import raw_text
 
     odd = ["", "A. b, c.. d., 's. DON'T, 12. 3,4 É. é, ab́. İ. ſs", "H̱ Ṯ J̌ T̈ W̊ Y̊. Ä", "<|endoftext|>. a<|STARTOFTEXT|>", " .a ,b", "\n", "end.", "x.\ny,", "", LONG[:3000], "a\x00b​.﻿x　y"]
+    monkeypatch.setattr(tokens, "MEMORY_BITS", 10)
     encoder = tokens.Encoder(tokenizer_path())
-    monkeypatch.setattr(tokens, "REMEMBERED", 40)
     for _ in range(3):
+        odd = odd[1:] + odd[:1]
         ids, at = encoder.encode(*raw_text(pa.array(odd)))
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == tokens.encode_whole(tokenizer_path(), odd)
 
