@@ -36,7 +36,7 @@ LENGTH = 4096
 #: Text bytes that are encoded at once.
 ENCODE_BYTES = 256 << 10
 #: A worker remembers up to half as many pieces as a table of so many bits has slots; then it starts anew.
-MEMORY_BITS = 22
+MEMORY_BITS = 21
 _ENCODERS: dict[str, Encoder] = {}
 
 
