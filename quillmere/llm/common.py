@@ -79,16 +79,3 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = SLICE_BYTE
 def fold(id_column: str, of: int) -> F.Column:
     """crc32 of the id as text, modulo ``of``: the contract's folds."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(of)
-
-
-def labelled(docs: DataFrame, labels: DataFrame, id_column: str, value: str, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents that have a 0/1 ``value``, with ``value``.
-
-    The label side is broadcast when it has at most ``BROADCAST_ROWS`` rows (counted
-    first), and is a shuffled join beyond that.  Contradictory repeated labels
-    count as the larger one.
-    """
-    side = labels.where(F.col(value).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(value).cast("int").alias(value))
-    if side.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return docs.select(*columns).join(side, id_column)

@@ -239,14 +239,16 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _most(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams with the largest counts, whole count classes, at most ENTRIES of them; largest first."""
-    size = {r.n: r["count"] for r in grams.groupBy(F.least(F.col("n0") + F.col("n1"), F.lit(10_000)).alias("n")).count().collect()}
-    least, held = 10_001, 0
-    for n in sorted(size, reverse=True):
-        if held + size[n] > ENTRIES:
+    """The n-grams with the largest counts, whole count classes (exact to 64, then 16 for each doubling), at most ENTRIES of them; largest first."""
+    n = F.col("n0") + F.col("n1")
+    level = F.when(n <= 64, n).otherwise(64 + F.floor(16 * F.log2(n / 64))).cast("long")
+    size = {r.level: r["count"] for r in grams.groupBy(level.alias("level")).count().collect()}
+    least, held = max(size, default=0) + 1, 0
+    for k in sorted(size, reverse=True):
+        if held + size[k] > ENTRIES:
             break
-        least, held = n, held + size[n]
-    table = grams.where(F.col("n0") + F.col("n1") >= least).toArrow()
+        least, held = k, held + size[k]
+    table = grams.where(level >= least).toArrow()
     keys, n = table.column("gram").to_numpy().view(np.uint64), np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], axis=1)
     order = np.lexsort((keys, -n.sum(axis=1)))
     return keys[order], n[order]
