@@ -84,8 +84,7 @@ def nearest(frame: DataFrame, count: int, block_cells: int = DRIVER_CELLS // 4)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["id", "neighbour", "d2"])
 
         # queries are spread over the cluster: the work is per query and base sample, not per byte read
-        parallel = max(context.defaultParallelism, frame.rdd.getNumPartitions())
-        parts.append(frame.select("id", "x").repartition(parallel, "id").mapInArrow(run, "id long, neighbour long, d2 double"))
+        parts.append(frame.select("id", "x").repartition(context.defaultParallelism, "id").mapInArrow(run, "id long, neighbour long, d2 double"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
