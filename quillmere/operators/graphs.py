@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import DRIVER_CELLS
 from .distances import nearest
 
 EDGES = "a long, b long, weight double"
@@ -152,39 +151,59 @@ def crosses_polygon(ax: Column, ay: Column, bx: Column, by: Column, polygon: lis
     return hit
 
 
-def graph_product(index: DataFrame, edges: DataFrame, size: int, self_weight: float, scale: tuple[float, float], local: bool | None = None):
-    """A multiply(block) for the driver loop: scale[0] * D^-1/2 (A + sI) D^-1/2 @ block + scale[1] * block.
+def _roots(degree: np.ndarray) -> np.ndarray:
+    return np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0.0)
 
-    Small graphs are collected once as sorted edge arrays; for larger ones (or ``local=False``)
-    each product is a Spark job that joins edges with the block and sums by node.
-    """
+
+def local_product(i: np.ndarray, j: np.ndarray, weight: np.ndarray, size: int, self_weight: float, scale: tuple[float, float]):
+    """multiply(block) = scale[0] * D^-1/2 (A + sI) D^-1/2 @ block + scale[1] * block from edge arrays, and the degrees."""
+    rows, cols, vals = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([weight, weight])
+    degree = np.bincount(rows, vals, size) + self_weight
+    root = _roots(degree)
+    order = np.lexsort((cols, rows))
+    rows, cols = rows[order], cols[order]
+    vals = vals[order] * root[rows] * root[cols]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    # short rows: one gather for each place in a row is cheaper than a sum over segments
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    layers = [(rows[at], cols[at], vals[at][:, None]) for k in range(int(place.max()) + 1) if len(at := np.flatnonzero(place == k))] if len(rows) and place.max() < 512 else None
+
+    def multiply(block: np.ndarray) -> np.ndarray:
+        out = (self_weight * root * root)[:, None] * block
+        if layers is not None:
+            for r, c, v in layers:
+                out[r] += v * block[c]
+        elif len(rows):
+            out[rows[first]] += np.add.reduceat(vals[:, None] * block[cols], first)
+        return scale[0] * out + scale[1] * block
+
+    return multiply, degree
+
+
+def local_components(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """The smallest node of each node's component, from edge arrays."""
+    label = np.arange(size)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, i, label[j])
+        np.minimum.at(least, j, label[i])
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def distributed_product(index: DataFrame, edges: DataFrame, size: int, self_weight: float, scale: tuple[float, float]):
+    """The same multiply and degrees, where each product is a Spark job that joins edges with the block and sums by node."""
     pairs = edges.join(index.select(F.col("id").alias("a"), F.col("index").alias("i")), "a").join(index.select(F.col("id").alias("b"), F.col("index").alias("j")), "b").select("i", "j", "weight")
-    if local is None:
-        local = pairs.count() * 4 <= DRIVER_CELLS
-    degree = np.full(size, float(self_weight))
-    sums = pairs.select(F.col("i").alias("n"), "weight").unionByName(pairs.select(F.col("j").alias("n"), "weight")).groupBy("n").agg(F.sum("weight").alias("d")).toArrow()
-    degree[sums.column("n").to_numpy()] += sums.column("d").to_numpy()
-    root = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0.0)
-    if local:
-        table = pairs.toArrow()
-        i, j, w = (table.column(c).to_numpy() for c in ("i", "j", "weight"))
-        rows, cols, vals = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w])
-        order = np.lexsort((cols, rows))
-        rows, cols = rows[order], cols[order]
-        vals = vals[order] * root[rows] * root[cols]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
-
-        def multiply(block: np.ndarray) -> np.ndarray:
-            out = (self_weight * root * root)[:, None] * block
-            if len(rows):
-                out[rows[first]] += np.add.reduceat(vals[:, None] * block[cols], first)
-            return scale[0] * out + scale[1] * block
-
-        return multiply, degree
     spark = edges.sparkSession
     links = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight")).cache()
+    degree = np.full(size, float(self_weight))
+    sums = links.groupBy("i").agg(F.sum("weight").alias("d")).toArrow()
+    degree[sums.column("i").to_numpy()] += sums.column("d").to_numpy()
+    root = _roots(degree)
 
-    def distributed(block: np.ndarray) -> np.ndarray:
+    def multiply(block: np.ndarray) -> np.ndarray:
         p = block.shape[1]
         scaled = np.ascontiguousarray(block * root[:, None])
         table = pa.table({"j": pa.array(np.arange(size)), "x": pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * p, pa.int32()), pa.array(scaled.ravel()))})
@@ -194,4 +213,4 @@ def graph_product(index: DataFrame, edges: DataFrame, size: int, self_weight: fl
             out[moved.column("i").to_numpy()] += np.array(moved.column("s").to_pylist(), float)
         return scale[0] * out * root[:, None] + scale[1] * block
 
-    return distributed, degree
+    return multiply, degree

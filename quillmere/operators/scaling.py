@@ -23,7 +23,7 @@ from .linalg import canonical_signs, leading_eigen, lists_of, symmetric_eigen
 #: Tolerance of the eigen solve, share of the first eigenvalue that is nothing, spare eigenpairs.
 EIGEN_TOLERANCE, NEGLIGIBLE, HEADROOM = 1e-10, 1e-6, 4
 #: Samples up to which the kernels run on the driver.
-LOCAL_ROWS = 3_000
+LOCAL_ROWS = 5_000
 _PASS = 2_000_000
 
 
@@ -74,6 +74,8 @@ class Targets:
     def __init__(self, spark: SparkSession, rows: int, features: np.ndarray | None = None, table: np.ndarray | None = None, local: bool | None = None):
         self.spark, self.rows, self.features, self.table = spark, rows, features, table
         self.local = rows <= LOCAL_ROWS if local is None else local
+        if self.local and table is None and rows * rows <= DRIVER_CELLS:
+            self.table = self.block(features, None, np.arange(rows))  # each step asks for the same distances
         self.source = None if self.local else spark.sparkContext.broadcast((features, table))
 
     @staticmethod

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import dense_ids, frame_of
-from .graphs import connected_components, degrees, from_edges, graph_product
+from .graphs import connected_components, degrees, distributed_product, from_edges, local_components, local_product
 from .linalg import leading_eigen
 
+#: Edges up to which the operator is collected and iterated on the driver.
+LOCAL_EDGES = 4_000_000
+
 
 @dataclass(frozen=True)
 class SpectralResult:
@@ -53,16 +56,27 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, dimensions: int, seed
     if dimensions < 1:
         raise ValueError("at least one dimension is needed")
     edges = from_edges(edges).cache()
-    degree = degrees(nodes, edges).cache()
     ids = np.sort(nodes.select("id").toArrow().column("id").to_numpy())
-    index = dense_ids(degree.where("degree > 0").select("id")).cache()
-    table = index.toArrow()
-    size = table.num_rows
+    table = edges.limit(LOCAL_EDGES + 1).toArrow() if local is not False else None
+    if table is not None and (local or table.num_rows <= LOCAL_EDGES):
+        a, b, w = (table.column(c).to_numpy() for c in ("a", "b", "weight"))
+        order = np.lexsort((b, a))
+        placed_ids, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+        i, j = ends[: len(a)], ends[len(a) :]
+        multiply, own = local_product(i, j, w[order], len(placed_ids), 0.0, (0.5, 0.5))
+        pieces = len(np.unique(local_components(i, j, len(placed_ids))))
+    else:
+        index = dense_ids(degrees(nodes, edges).where("degree > 0").select("id")).cache()
+        numbered = index.toArrow()
+        placed_ids = np.empty(numbered.num_rows, np.int64)
+        placed_ids[numbered.column("index").to_numpy()] = numbered.column("id").to_numpy()
+        multiply, own = distributed_product(index, edges, len(placed_ids), 0.0, (0.5, 0.5))
+        pieces = connected_components(index.select("id"), edges).select("component").distinct().count()
+    size = len(placed_ids)
     if dimensions > size:
         raise ValueError(f"{size} connected node(s) cannot carry {dimensions} dimensions")
-    placed_ids = np.empty(size, np.int64)
-    placed_ids[table.column("index").to_numpy()] = table.column("id").to_numpy()
-    multiply, own = graph_product(index, edges, size, 0.0, (0.5, 0.5), local)
+    if not np.isin(placed_ids, ids).all():
+        raise ValueError("an edge names a node that does not exist")
     ask = min(size, dimensions + 1)
     values, vectors, iterations, converged = leading_eigen(size, multiply, ask, seed, tolerance)
     laplacian = laplacian_eigenvalues(values)
@@ -71,8 +85,8 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, dimensions: int, seed
     coordinates[at] = vectors[:, :dimensions] / np.sqrt(own)[:, None]
     placed = np.zeros(len(ids), bool)
     placed[at] = True
-    pieces = connected_components(index.select("id"), edges).select("component").distinct().count()
     gap = float(laplacian[dimensions] - laplacian[dimensions - 1]) if ask > dimensions else math.nan
+    edges.unpersist()
     return SpectralResult(ids, coordinates, placed, laplacian[:dimensions], gap, pieces, iterations, converged)
 
 
