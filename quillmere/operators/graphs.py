@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .distances import nearest
 
-EDGES = "a long, b long, weight double"
+#: Edges up to which a graph is worked on in memory.
+LOCAL_EDGES = 1_000_000
 
 
 def from_edges(edges: DataFrame) -> DataFrame:
@@ -80,8 +81,20 @@ def propagate(nodes: DataFrame, edges: DataFrame, values: DataFrame, width: int,
     return out.select("id", F.array(*(F.coalesce(F.col(f"s{i}") * F.col("root"), F.lit(0.0)) for i in range(width))).alias("x"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """(id, component): the smallest node of each component.  Smallest neighbour label, then the label's label, until nothing changes."""
+def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint: bool = True, local: bool | None = None) -> DataFrame:
+    """(id, component): the smallest node of each component.
+
+    Smallest neighbour label, then the label's label, until nothing changes: in
+    memory for up to LOCAL_EDGES edges, else (or with ``local=False``) a few jobs a round.
+    """
+    if local is not False:
+        few = edges.select("a", "b").limit(LOCAL_EDGES + 1).toArrow()
+        if local or few.num_rows <= LOCAL_EDGES:
+            a, b = few.column("a").to_numpy(), few.column("b").to_numpy()
+            known, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+            label = known[local_components(ends[: len(a)], ends[len(a) :], len(known))] if len(known) else known
+            found = nodes.sparkSession.createDataFrame(pa.table({"node": pa.array(known, pa.int64()), "least": pa.array(label, pa.int64())}))
+            return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("least", "id").alias("component"))
     links = both_ways(edges.select("a", "b", F.lit(1.0).alias("weight"))).select("a", "b").distinct()
     context = nodes.sparkSession.sparkContext
     if checkpoint and context.getCheckpointDir() is None:

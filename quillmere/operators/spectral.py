@@ -71,7 +71,7 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, dimensions: int, seed
         placed_ids = np.empty(numbered.num_rows, np.int64)
         placed_ids[numbered.column("index").to_numpy()] = numbered.column("id").to_numpy()
         multiply, own = distributed_product(index, edges, len(placed_ids), 0.0, (0.5, 0.5))
-        pieces = connected_components(index.select("id"), edges).select("component").distinct().count()
+        pieces = connected_components(index.select("id"), edges, local=False).select("component").distinct().count()
     size = len(placed_ids)
     if dimensions > size:
         raise ValueError(f"{size} connected node(s) cannot carry {dimensions} dimensions")

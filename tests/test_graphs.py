@@ -75,14 +75,17 @@ def test_graph_tools(spark):
     assert edges(g) == [(1, 2, 3.0), (4, 5, 2.0)]
     nodes = spark.range(7)
     assert {r.id: r.degree for r in graphs.degrees(nodes, g).collect()} == {0: 0, 1: 3, 2: 3, 3: 0, 4: 2, 5: 2, 6: 0}
-    assert {r.id: r.component for r in graphs.connected_components(nodes, g).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+    for local in (True, False, None):
+        assert {r.id: r.component for r in graphs.connected_components(nodes, g, local=local).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+    assert graphs.connected_components(nodes, g.limit(0)).where("id <> component").count() == 0
     assert edges(graphs.reweight(g, F.lit(1.0))) == [(1, 2, 1.0), (4, 5, 1.0)]
     assert {r.id: r.neighbours for r in graphs.adjacent(g).collect()} == {1: [2], 2: [1], 4: [5], 5: [4]}
 
 
 def test_long_chain_and_shortest_paths(spark):
     chain = graphs.from_edges(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
-    assert graphs.connected_components(spark.range(41), chain).select("component").distinct().count() == 1
+    for local in (True, False):
+        assert graphs.connected_components(spark.range(41), chain, local=local).select("component").distinct().count() == 1
     detour = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 5.0), (3, 4, 1.0)], "a long, b long, weight double")
     paths = graphs.shortest_paths(spark.range(5), detour, [0]).cache()
     assert {r.id: r.cost for r in paths.collect()} == {0: 0.0, 1: 1.0, 2: 2.0, 3: None, 4: None}
