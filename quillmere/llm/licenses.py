@@ -13,6 +13,8 @@ never suppressed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,7 +227,9 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     anchored = F.lit(False)
     for a in ANCHORS:
         anchored = anchored | low.contains(a)
-    rule = F.array(*(F.struct(F.lit(i).alias("priority"), F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(key).alias("key"), F.lit(confidence).alias("confidence")) for i, (label, pattern, key, confidence) in enumerate(table)))
+    # one constant for the optimiser to fold, instead of thousands of literals to build
+    text = json.dumps([{"priority": i, "label": label, "pattern": pattern, "key": key, "confidence": confidence} for i, (label, pattern, key, confidence) in enumerate(table)])
+    rule = F.from_json(F.lit(text), "array<struct<priority: int, label: string, pattern: string, key: string, confidence: double>>")
     found = found.withColumn("_low", F.when(anchored, low))
     found = found.withColumn("_rules", F.when(F.col("_low").isNotNull(), F.filter(rule, lambda r: F.contains(F.col("_low"), r["key"]))))
 

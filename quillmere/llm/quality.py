@@ -28,7 +28,7 @@ CHUNK, STEP = 1024, 896
 FILTERS, TAPS, EMBED = 16, 6, 8
 #: Labelled rows that the network is trained on, at most about this many, none of more than so many bytes.
 TRAIN_ROWS, TRAIN_BYTES = 3_000, 32_768
-EPOCHS, BATCH, RATE = 8, 32, 0.01
+EPOCHS, BATCH, RATE = 5, 32, 0.01
 THRESHOLD = 0.7
 #: Chunks that are convolved at once.
 _BLOCK = 16
