@@ -19,6 +19,8 @@ SLICE_BYTES = 1 << 20
 BROADCAST_ROWS = 2_000_000
 
 
+_MADE: list[str] = []
+
 #: Rows of one Arrow batch: long texts must not add up in a worker.
 ARROW_ROWS = 1024
 
@@ -41,7 +43,17 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='quillmere-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillmere-{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/quillmere-{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the folders that ``scratch`` named in this process; results read from them must have been stored before."""
+    count = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:

@@ -361,3 +361,11 @@ def test_quality_rules(docs, none):
     by = {r.doc_id: r.kept for r in got.collect()}
     assert by[4] and by[5] and not by[10] and not by[11] and not by[0]
     assert rules.quality_rules(none).count() == 0
+
+
+def test_scratch_is_cleared(spark):
+    from quillmere.llm.common import clear_scratch, written
+
+    clear_scratch(spark)
+    table = written(spark.range(3).toDF("a"), "test")
+    assert table.count() == 3 and clear_scratch(spark) == 1 and clear_scratch(spark) == 0
