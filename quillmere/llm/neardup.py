@@ -6,8 +6,10 @@ most 31 symbols agree, in at least one chunk, in all but one symbol or better
 (pigeonhole: 16 chunks x 2 errors = 32 > 31).  So each document is indexed under
 every chunk with each symbol left out in turn (enumerating the one allowed
 error), and all pairs within distance 31 meet under some key.  At similarity
-0.75 the distance is binomial(64, 0.25): it exceeds 31 with probability about
-2e-5, and less for closer texts.  Links are confirmed on full shingle sets.
+0.75 the distance is binomial(64, 0.25): it exceeds 31 with probability 1.5e-5,
+and less for closer texts.  Pairs that meet are therefore followed up to distance
+36, which is exceeded with probability 2.5e-8; at distances 32 to 36 nearly all meet
+too.  Links are confirmed on full shingle sets.
 
 Hot keys.  Keys with a few members compare them all by signature.  Keys with more
 first give a spanning tree by signature distance (at most one pair for each
@@ -32,7 +34,9 @@ from .common import BROADCAST_ROWS, raw_text, slices, written
 from .components import components
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 1
+#: All pairs within it meet under a key; pairs that meet are followed up to the second distance.
 DISTANCE = SYMBOLS // CHUNK * (ERRORS + 1) - 1
+FOLLOWED = DISTANCE + 5
 #: Documents of one block of a hot key; members up to which a key compares all pairs at once.
 BLOCK, FEW = 1024, 8
 #: Shingles of the sets that travel in shortened form (4 bytes each); pairs of larger sets are left to the full check.
@@ -165,7 +169,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in range(0, len(i), 1 << 14):
                 x = i[s : s + (1 << 14)]
                 y = x + shift
-                near = _fits(g["n"][x], g["n"][y]) & ((g["sig"][x] != g["sig"][y]).sum(axis=1) <= DISTANCE)
+                near = _fits(g["n"][x], g["n"][y]) & ((g["sig"][x] != g["sig"][y]).sum(axis=1) <= FOLLOWED)
                 x, y = x[near], y[near]
                 x, y = (z[_first_key(g["sig"][x], g["sig"][y]) == number[x]] for z in (x, y))
                 yield _pairs(g["rep"][x], g["rep"][y])
@@ -179,7 +183,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 closer = far < best
                 best[closer], via[closer] = far[closer], now
                 now = int(np.where(left, best, SYMBOLS + 2).argmin())
-                if best[now] <= DISTANCE:
+                if best[now] <= FOLLOWED:
                     a.append(rep[now]), b.append(rep[via[now]])
             if a:
                 yield _pairs(np.array(a), np.array(b))
@@ -208,7 +212,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if g["bi"][0] != g["bj"][0]:
                     fit &= g["side"] != g["side"][r]
                 y = np.flatnonzero(fit)
-                y = y[(g["sig"][y] != g["sig"][r]).sum(axis=1) <= DISTANCE]
+                y = y[(g["sig"][y] != g["sig"][r]).sum(axis=1) <= FOLLOWED]
                 if not len(y):
                     continue
                 if size[r]:
