@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 Hundreds of rules, each a regular expression with a label and keywords.  A text is
-first tested for a few anchor words; only then its keywords choose the rules that
-run.  Detections are intervals; one that lies inside another is suppressed, and
+first tested for the words that its rules cannot do without; only then its keywords choose the
+rules that run.  Detections are intervals; one that lies inside another is suppressed, and
 of equal intervals the rule with the higher priority (listed first) stays.
 
 Rules are written once for each licence (names, identifiers, addresses, characteristic
@@ -14,6 +14,8 @@ never suppressed.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,6 @@ WORD_CLASS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP_CLASS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Base phrases (words) and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: A text without any of these holds no detection of the method.
-ANCHORS = ("licen", "spdx", "copyleft", "public domain", "creativecommons", "gnu.org", "opensource.org", "warranty", "redistribution", "permission is hereby", "copyright")
 #: Label, identifier in tags, name pattern (words joined by single spaces), further patterns.  Names stand in order of priority.
 LICENCES = (
     ("mit-0", "MIT-0", "mit no attribution( license)?"),
@@ -160,15 +160,15 @@ def _words(pattern: str) -> str:
     return pattern.replace(" ", f"{GAP_CLASS}+")
 
 
-def _keyword(pattern: str) -> str:
-    """A literal run that every match contains, in lower case: the longest word free of alternatives and options."""
-    depth, current, best = 0, "", []
+def _literals(pattern: str) -> list[str]:
+    """Literal runs that every match contains, in lower case: the words free of alternatives and options."""
+    depth, current, out = 0, "", []
     i = 0
     while i < len(pattern):
         c = pattern[i]
         if c in "([":
             depth += 1
-            best.append(current)
+            out.append(current)
             current = ""
         elif c in ")]":
             depth -= 1
@@ -176,27 +176,52 @@ def _keyword(pattern: str) -> str:
             if pattern[i + 1 : i + 2] not in ("?", "*"):
                 current += c
             else:
-                best.append(current)
+                out.append(current)
                 current = ""
         elif depth == 0:
-            best.append(current)
+            out.append(current)
             current = ""
         i += 1
-    best.append(current)
-    return max(best, key=len)
+    out.append(current)
+    return [x for x in out if x]
+
+
+def _keyword(pattern: str) -> str:
+    """The longest of the literal runs."""
+    return max(_literals(pattern), key=len)
+
+
+def _edge(body: str) -> str:
+    return f"(?i)(?<!{WORD_CLASS})(?:{body})(?!{WORD_CLASS})"
+
+
+def anchors() -> tuple[list[tuple[str, ...]], str]:
+    """What a text with any detection holds, derived from the rules: all words of one of the sets, or a match of the expression.
+
+    Rules in tags and most names need "licen"; each other name needs all its literal
+    runs; names of short words alone ("cc by sa") are searched as they are.
+    """
+    sets, short = {("licen",)}, []
+    for _, _, *names in LICENCES:
+        for name in names:
+            need = sorted({x for x in _literals(name) if len(x) > 2}, key=lambda x: (-len(x), x))
+            if not need:
+                short.append(name)
+            elif not any("licen" in x for x in need):
+                sets.add(tuple(need))
+    return sorted(x for x in sets if not any(y != x and set(y) < set(x) for y in sets)), _edge("|".join(map(_words, short)))
 
 
 def rules() -> list[tuple[str, str, str, float]]:
     """All rules in order of priority: (label, regular expression, keyword, confidence)."""
     out = []
-    edge = lambda body: f"(?i)(?<!{WORD_CLASS})(?:{body})(?!{WORD_CLASS})"
     for form, confidence in _TAG_FORMS:
         for label, tag, *_ in LICENCES:
             body = GAP_CLASS.join("".join(f"\\{c}" if c in "+" else c for c in part) for part in tag.replace(".", "-").split("-"))
-            out.append((label, edge(form.format(body).replace(" ", f"{GAP_CLASS}+")), max(tag.lower().replace(".", "-").split("-"), key=len), confidence))
+            out.append((label, _edge(form.format(body).replace(" ", f"{GAP_CLASS}+")), max(tag.lower().replace(".", "-").split("-"), key=len), confidence))
     for form, confidence in _NAME_FORMS:
         for label, _, *names in LICENCES:
-            out += [(label, edge(_words(form.format(f"(?:{name})"))), _keyword(name), confidence) for name in names]
+            out += [(label, _edge(_words(form.format(f"(?:{name})"))), _keyword(name), confidence) for name in names]
     return out
 
 
@@ -224,9 +249,11 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     found = base.select("doc_id", "text", *(F.coalesce(places(p), none).alias(f"_p{i}") for i, p in enumerate(PHRASES)))
     table = rules()
+    sets, short = anchors()
     anchored = F.lit(False)
-    for a in ANCHORS:
-        anchored = anchored | low.contains(a)
+    for need in sets:
+        anchored = anchored | reduce(and_, (low.contains(x) for x in need))
+    anchored = anchored | F.col("text").rlike(short)
     # one constant for the optimiser to fold, instead of thousands of literals to build
     text = json.dumps([{"priority": i, "label": label, "pattern": pattern, "key": key, "confidence": confidence} for i, (label, pattern, key, confidence) in enumerate(table)])
     rule = F.from_json(F.lit(text), "array<struct<priority: int, label: string, pattern: string, key: string, confidence: double>>")

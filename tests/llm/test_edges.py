@@ -312,6 +312,57 @@ def test_license_rules(spark):
     assert got == {k: k for k in texts.values()}
 
 
+def samples_of(pattern, longest):
+    """A text that a pattern matches, with all its options or none, for each first choice of a group."""
+    from re import _parser as parser
+
+    def made(items, pick):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            elif name == "BRANCH":
+                out += made(arg[1][pick % len(arg[1])], pick)
+            elif name == "SUBPATTERN":
+                out += made(arg[-1], pick)
+            elif name == "MAX_REPEAT":
+                out += made(arg[2], pick) * min(max(arg[0], int(longest)), arg[1])
+        return out
+
+    return {made(parser.parse(pattern), pick) for pick in range(3)}
+
+
+def test_license_gates_hide_no_rule(spark):
+    """Each rule on texts that hold nothing but its own phrase, against all rules run without any gate."""
+    texts = set()
+    for _, tag, *names in licenses.LICENCES:
+        texts |= {f"SPDX-License-Identifier: {tag}", f"licence = {tag}"}
+        for name in names:
+            for longest in (False, True):
+                texts |= {t for x in samples_of(name, longest) for t in (x, f"Released under the {x}".upper())}
+    table = [(re.compile(pattern, re.ASCII), label) for label, pattern, *_ in licenses.rules()]
+    want, alone = {}, set()
+    for t in texts:
+        found, to, names = [], -1, {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(alnum(t))} "}
+        for k, (pattern, label) in enumerate(table):
+            own = [(m.start(), -m.end(), k, label) for m in pattern.finditer(t)]
+            found += own
+            alone |= {k} if own else set()
+        for _, back, _, label in sorted(found):
+            if -back > to:
+                to = -back
+                names.add(label)
+        want[t] = ",".join(sorted(names))
+    assert len(alone) == len(table)
+    df = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string")
+    got = {r.text: r.labels for r in licenses.license_scan(df, keep_text=True).collect()}
+    assert got == want
+    assert got["all rights reserved"] == "proprietary" and got["cc by sa"] == "cc-by-sa" and got["gnu gpl v3"] == "gpl-3.0"
+
+
 ASSIGN = re.compile(secrets.ASSIGN)
 
 
