@@ -35,7 +35,7 @@ ROW_GROUP, PAGE = 32 << 20, 256 << 10
 LENGTH = 4096
 #: Text bytes that are encoded at once.
 ENCODE_BYTES = 256 << 10
-#: A worker remembers up to half as many pieces as a table of so many bits has slots; then it starts anew.
+#: A worker remembers up to half as many pieces as a table of so many bits has slots; then it starts anew, with more bits where one slice needs them.
 MEMORY_BITS = 21
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -138,8 +138,9 @@ class Encoder:
         if len(missing):
             new, back = np.unique(one[missing], return_inverse=True)
             pick = missing[np.unique(one[missing], return_index=True)[1]]
-            if self.memory.count + len(new) > (1 << (MEMORY_BITS - 1)):
-                self.memory = Memory(MEMORY_BITS if len(new) <= 1 << (MEMORY_BITS - 2) else int(len(new)).bit_length() + 2)
+            if self.memory.count + len(new) > (1 << (self.memory.bits - 1)):
+                # all pieces of these texts are new then; a memory of more bits has room for as many as there are
+                self.memory = Memory(max(MEMORY_BITS, len(np.unique(one)).bit_length() + 1))
                 return self.encode(data, offsets)
             at[missing] = self._learn(low, starts[pick], stops[pick], one[pick], two[pick])[back]
         size = self.memory.size[at].astype(np.int64)

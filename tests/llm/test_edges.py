@@ -187,6 +187,20 @@ def test_pieces_are_encoded_as_whole_texts(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == tokens.encode_whole(tokenizer_path(), odd)
 
 
+@pytest.mark.parametrize("before", ["", "w1 w2 w3 other words"])
+def test_a_text_of_more_pieces_than_the_memory_holds(monkeypatch, before):
+    import pyarrow as pa
+
+    from quillmere.llm.common import raw_text
+
+    monkeypatch.setattr(tokens, "MEMORY_BITS", 6)
+    encoder = tokens.Encoder(tokenizer_path())
+    many = " ".join(f"w{k}" for k in range(1000))
+    for texts in ([before], [many], ["w5 w7 again"], [many + " and more", before], [" ".join(f"v{k}" for k in range(3000))]):
+        ids, at = encoder.encode(*raw_text(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == tokens.encode_whole(tokenizer_path(), texts)
+
+
 def test_language(spark, docs, none):
     m = langid.fit(docs)
     got = langid.identify(docs, m).collect()
