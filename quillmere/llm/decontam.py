@@ -204,6 +204,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     and text are one row of the join and come back as often as they came in).
     Other columns are not read.
     """
+    return _judged(docs, benchmark, id_column, text_column, item_column, item_text, window, block_bytes).drop("row_key")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """The columns of ``contamination``; of several blocks also row_key, the hash of the text."""
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     first = None
     parts: list[DataFrame] = []
@@ -234,16 +239,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     full = first.join(hits.withColumnsRenamed({"doc_id": "d", "row_key": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return full.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("names").cast("long"), F.lit(0).cast("long")).alias("n_items"),
+        "doc_id", "row_key", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("names").cast("long"), F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (F.lit(20) * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Each row is judged by its own text, whatever rows share its id and however many blocks there are.
+    """
     items, n = _items(benchmark, item_column, item_text, block_bytes)
     if n == 1:
         shared = _ordered(_block(items, 0, 1, window), docs, text_column)
         return docs.mapInArrow(_scan(shared, text_column, docs.columns, "clean"), _schema(docs.schema.fields, []))
-    bad = contamination(docs, benchmark, id_column, text_column, item_column, item_text, window, block_bytes).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs[id_column].eqNullSafe(F.col("bad_id")), "left_anti")
+    judged = _judged(docs, benchmark, id_column, text_column, item_column, item_text, window, block_bytes)
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
+    return docs.join(bad, docs[id_column].eqNullSafe(F.col("_bad_id")) & (F.sha2(docs[text_column].cast("string"), 256) == F.col("_bad_key")), "left_anti")

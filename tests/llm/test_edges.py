@@ -124,6 +124,17 @@ def test_contamination(spark, docs, none):
     assert contamination(docs, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_blocks_of_the_benchmark_drop_the_same_rows(spark):
+    copied, clean = [prose(40) for _ in range(3)], [prose(40) for _ in range(4)]
+    rows = [(None, copied[0]), (None, clean[0]), (None, clean[1]), (None, None), (1, copied[1]), (1, clean[2]), (1, copied[1]), (2, copied[2]), (2, None), (3, clean[3]), (3, clean[3])]
+    own = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    bench = spark.createDataFrame([(k, " ".join(alnum(t)[:25])) for k, t in enumerate(copied)], "item_id long, text string")
+    one = decontaminate(own, bench).collect()
+    assert sorted(r.k for r in one) == [1, 2, 3, 5, 8, 9, 10]
+    many = decontaminate(own, bench, block_bytes=100)
+    assert many.columns == own.columns and Counter(map(tuple, many.collect())) == Counter(map(tuple, one))
+
+
 def ids_of(text, end):
     return [*tokens.encode_whole(tokenizer_path(), [text or ""])[0], end]
 
