@@ -19,7 +19,8 @@ from .spans import SPAN, spans
 
 #: Characters of the models; every other character is the last class.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"
+#: A whole run of any length, after whatever stands before it ("=" too), with the padding that ends it.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Mean log-likelihood ratio for each character that makes a candidate a secret.
 THRESHOLD = 0.9
 KINDS = ("assign", "access", "hex", "markov")

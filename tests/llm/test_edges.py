@@ -413,6 +413,23 @@ def test_secret_scan(spark, docs, none):
     assert "hunter2secret" not in whole.where("doc_id = 12").first().text
 
 
+def test_secrets_of_any_length_and_after_equals(spark):
+    table = secrets.fit(secrets.default_samples(spark))
+    chars = np.array(list(secrets.ALPHABET[:62]))
+    run = lambda n: "x7" + "".join(np.random.default_rng(n).choice(chars, n - 2))
+    long, huge, key = run(400), run(20_000), "qX7vB2mZ9kLw4TnR8sYd"
+    texts = {
+        f"sig {long} end": (4, 404), f"{huge}": (0, 20_000), f"a.{long}==, b": (2, 404), f"AWS_KEY={key}": (8, 28), f"see ?sig={key}&x=1": (9, 29), f"auth={long}\n": (5, 405), f"?{key}=on": (1, 21),
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_scan(df, table).collect()}
+    assert got == {k: f"markov:{a}:{b}" for k, (a, b) in enumerate(texts.values())}
+    red = {r.doc_id: r.text for r in secrets.redact(df, table).collect()}
+    assert red == {k: t[:a] + "[SECRET]" + t[b:] for k, (t, (a, b)) in enumerate(texts.items())}
+    plain = spark.createDataFrame([(1, "NAME=get_current_user_session_handler_2 and path=" + "module/service/handler_2/" * 20)], "doc_id long, text string")
+    assert secrets.secret_scan(plain, table).first().spans == ""
+
+
 def test_markov_tables(spark):
     table = secrets.fit(secrets.default_samples(spark, 400))
     k = len(secrets.ALPHABET) + 1
