@@ -10,8 +10,8 @@ words and over the whole text.  A logistic curve, fitted on labelled rows
 that gave no counts, turns the values into a probability.
 
 Counts are summed on the executors over all labelled rows of their folds.  The
-scoring tables have a fixed number of slots (broadcast: some 40 MB); where there are more
-five-grams than fit, those below a count chosen from the data count as unseen.
+scoring tables hold every counted n-gram, exactly, and grow with their number
+(12 bytes a slot, at most two thirds of the slots taken); they are made on the driver and broadcast.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import BROADCAST_ROWS, fold, raw_text, slices, written
 
-#: n-grams of one order that scoring keeps at most, and the slots of their table.
-ENTRIES, SLOT_BITS = 500_000, 21
 DISCOUNT = 0.75
 #: Bytes of a window: about a word with its neighbours, and about a line.
 NARROW, WIDE = 48, 192
@@ -98,22 +96,38 @@ def _gather(column: str):
 
 
 class Table:
-    """Hashed keys with a value; a slot wanted by several keys goes to the first of them."""
+    """Distinct keys with a value each: open addressing by the whole key, with as many slots as the keys need."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.value = np.zeros(1 << SLOT_BITS, np.float32)
-        self.mark = np.zeros(1 << SLOT_BITS, np.uint16)
-        slot, mark = self._at(keys)
-        self.value[slot[::-1]], self.mark[slot[::-1]] = values[::-1], mark[::-1]
-
-    @staticmethod
-    def _at(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = W.mix(keys + np.uint64(1))
-        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+        self.bits = max(10, (len(keys) * 3 // 2).bit_length())
+        self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float32)
+        key, left = keys + np.uint64(1), np.arange(len(keys))  # 0 is a free slot
+        slot = self._at(key)
+        while len(left):
+            free = np.flatnonzero(self.key[slot] == 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.key[slot[free]], self.value[slot[free]] = key[left[free]], values[left[free]]
+            on = np.ones(len(left), bool)
+            on[free] = False
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        return (W.mix(key) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, mark = self._at(keys)
-        found = self.mark[slot] == mark
+        key = keys + np.uint64(1)
+        slot = self._at(key)
+        held = self.key[slot]
+        found = held == key
+        left = np.flatnonzero(~found & (held != 0))
+        own = slot[left]
+        while len(left):
+            own = (own + 1) & ((1 << self.bits) - 1)
+            held = self.key[own]
+            hit = held == key[left]
+            slot[left[hit]], found[left[hit]] = own[hit], True
+            on = ~hit & (held != 0)
+            left, own = left[on], own[on]
         return np.where(found, self.value[slot], np.float32(0)), found
 
 
@@ -173,13 +187,12 @@ class Model:
 
     @classmethod
     def of(cls, five: tuple[np.ndarray, np.ndarray], four: tuple[np.ndarray, np.ndarray]) -> Model:
-        """five: (keys, class counts); four: (keys, class continuation counts); both ordered by falling count."""
+        """five: (keys, class counts); four: (keys, class continuation counts); both ascending and whole."""
         if not len(five[0]) or not len(four[0]):
             none = Table(np.zeros(0, np.uint64), np.zeros(0))
             return cls(none, none, none, none, np.zeros(4), 0.0)
         p4, back4 = _order(*four, _shared(four[0], four[1], four[0])[:, None])
-        order = np.argsort(four[0])
-        at = order[np.minimum(np.searchsorted(four[0][order], five[0] & np.uint64(0xFFFFFFFF)), len(order) - 1)]
+        at = np.minimum(np.searchsorted(four[0], five[0] & np.uint64(0xFFFFFFFF)), len(four[0]) - 1)
         known = (four[0][at] == five[0] & np.uint64(0xFFFFFFFF))[:, None]
         p5, back5 = _order(*five, np.where(known, p4[at], _shared(four[0], four[1], five[0])[:, None]))
         ratio = lambda p: np.log(p[:, 1]) - np.log(p[:, 0])
@@ -238,19 +251,11 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-def _most(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams with the largest counts, whole count classes (exact to 64, then 16 for each doubling), at most ENTRIES of them; largest first."""
-    n = F.col("n0") + F.col("n1")
-    level = F.when(n <= 64, n).otherwise(64 + F.floor(16 * F.log2(n / 64))).cast("long")
-    size = {r.level: r["count"] for r in grams.groupBy(level.alias("level")).count().collect()}
-    least, held = max(size, default=0) + 1, 0
-    for k in sorted(size, reverse=True):
-        if held + size[k] > ENTRIES:
-            break
-        least, held = k, held + size[k]
-    table = grams.where(level >= least).toArrow()
+def _all(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams, ascending, with their counts by class."""
+    table = grams.toArrow()
     keys, n = table.column("gram").to_numpy().view(np.uint64), np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], axis=1)
-    order = np.lexsort((keys, -n.sum(axis=1)))
+    order = np.argsort(keys)
     return keys[order], n[order]
 
 
@@ -266,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     counted = base.join(near(side.where("fold <> 3").drop("fold")), "label_id").select("text", "side")
     five = written(counted.mapInArrow(_gather("text"), "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
     four = written(five.groupBy(F.col("gram").bitwiseAND(0xFFFFFFFF).alias("gram")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), "grams")
-    model = Model.of(_most(five), _most(four))
+    model = Model.of(_all(five), _all(four))
     held = side.groupBy("side").agg(F.sum(F.when(F.col("fold") == 3, 1).otherwise(0)).alias("n")).collect()
     n = {r.side: r.n for r in held}
     if not n.get(1) or not n.get(0):

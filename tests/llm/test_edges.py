@@ -306,6 +306,21 @@ def test_kneser_ney_sums_to_one():
         assert abs(sum(seen.get(b, weight * below[b]) for b in range(256)) - 1) < 1e-6
 
 
+def test_scoring_tables_hold_every_gram():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 40, 600_000).astype(np.uint64))
+    n = rng.integers(0, 3, (len(keys), 2)) + [[0, 1]]
+    table = toxicity.Table(keys, n[:, 1])
+    value, found = table.get(keys)
+    assert found.all() and (value == n[:, 1]).all() and not table.get(keys + np.uint64(1 << 41))[1].any()
+    four, at = np.unique(keys & np.uint64(0xFFFFFFFF), return_inverse=True)
+    kinds = np.stack([np.bincount(at, n[:, c] > 0, len(four)) for c in (0, 1)], axis=1).astype(np.int64)
+    model = toxicity.Model.of((keys, n), (four, kinds))
+    p4, _ = toxicity._order(four, kinds, toxicity._shared(four, kinds, four)[:, None])
+    p5, _ = toxicity._order(keys, n, p4[at])
+    np.testing.assert_allclose(model.ratios(keys), np.log(p5[:, 1] / p5[:, 0]), rtol=1e-4, atol=1e-5)
+
+
 def test_license_scan(docs, none):
     got = licenses.license_scan(docs)
     want = Counter()
