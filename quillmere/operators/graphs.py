@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,13 @@ def neighbour_graph(frame: DataFrame, neighbours: int) -> DataFrame:
     return near.groupBy(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).agg((F.count("*") * 0.5).alias("weight"))
 
 
-def neighbour_graph_by_distance(frame: DataFrame, neighbours: int, maximum_distance: float = math.inf, blocked: Column | DataFrame | None = None) -> DataFrame:
+def neighbour_graph_by_distance(frame: DataFrame, neighbours: int, maximum_distance: float = math.inf, blocked: Column | DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges between nearest neighbours that either end chose, weighted by distance.
 
     Longer edges than the maximum go (equal ones stay), then blocked ones, then those of
     length zero.  ``blocked``: a condition on the columns a and b, asked once for each
-    pair, or a table (a, b) of blocked pairs in either order.
+    pair; a function from edges to those that stay, which may join what it needs to
+    them; or a table (a, b) of blocked pairs in either order.
     """
     if math.isnan(maximum_distance) or maximum_distance < 0:
         raise ValueError("the maximum distance must not be negative")
@@ -41,6 +43,8 @@ def neighbour_graph_by_distance(frame: DataFrame, neighbours: int, maximum_dista
     edges = near.groupBy(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).agg(F.min("distance").alias("weight"))
     if isinstance(blocked, DataFrame):
         edges = edges.join(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    elif callable(blocked) and not isinstance(blocked, Column):
+        edges = blocked(edges).select("a", "b", "weight")
     elif blocked is not None:
         edges = edges.where(~blocked)
     return edges.where("weight > 0")

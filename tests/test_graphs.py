@@ -113,3 +113,34 @@ def test_cliques_with_a_bridge(spark, local):
     assert (r.coordinates[10] == 0).all() and abs(r.eigenvalues[0]) < 1e-6
     closed = {x.id: x.x for x in constant_axis(spark.range(11), g).collect()}
     assert closed[10] == 0 and abs(closed[0] - 1 / np.sqrt(total)) < 1e-12
+
+
+def test_nearest_of_hard_values(spark):
+    """Ties by the thousand, far offsets, huge and repeated values: the same rows as a plain search."""
+    cases = [
+        RNG.integers(0, 3, (300, 2)).astype(float),
+        RNG.normal(0, 1, (200, 3)) + 1e9,
+        RNG.normal(0, 1, (60, 2)) * 1e200,
+        np.repeat(RNG.normal(0, 1, (20, 4)), 10, axis=0),
+    ]
+    for x in cases:
+        with np.errstate(over="ignore"):
+            d = distances.squared_block(x, x)
+        np.fill_diagonal(d, np.inf)
+        want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:5] if np.isfinite(d[i, j])}
+        for found in (distances.nearest(frame(spark, x), 5), distances.nearest(frame(spark, x), 5, block_cells=x.size // 3)):
+            assert {(r.id, r.neighbour) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_all_pairs(spark, tile):
+    x = RNG.normal(0, 1, (90, 3))
+    got = {(r.i, r.j): (r.d2, r.d) for r in distances.pairs(frame(spark, x), tile).collect()}
+    want = distances.squared_block(x, x)
+    assert got == {(i, j): (want[i, j], np.sqrt(want[i, j])) for i in range(90) for j in range(i + 1, 90)}
+    assert distances.pairs(frame(spark, x).limit(0)).count() == 0
+
+
+def test_blocked_by_a_function(spark):
+    f = line(spark, 0, 1, 3, 7)
+    assert edges(graphs.neighbour_graph_by_distance(f, 1, blocked=lambda e: e.where("a <> 1 or b <> 2"))) == [(0, 1, 1.0), (2, 3, 4.0)]
