@@ -138,8 +138,8 @@ def _dealt(frame: DataFrame, rows: int, blocks: int, count: int) -> DataFrame:
     context = frame.sparkSession.sparkContext
     shares = max(1, -(-2 * context.defaultParallelism // blocks), math.ceil(rows * (rows / blocks) / TASK_PAIRS))
     own = frame.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int").alias("share"))
-    base = own.select("id", "x", F.lit(0).alias("role"), (F.col("block") * shares + F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).alias("tile"))
-    asked = own.select("id", "x", F.lit(1).alias("role"), (F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) * shares + F.col("share")).alias("tile"))
+    base = own.withColumn("any", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select("id", "x", F.lit(0).alias("role"), (F.col("block") * shares + F.col("any")).alias("tile"))
+    asked = own.withColumn("any", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "x", F.lit(1).alias("role"), (F.col("any") * shares + F.col("share")).alias("tile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held, block = -1, [], None
