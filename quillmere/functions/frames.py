@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Doubles that may be brought to the driver or broadcast as one block (256 MB).
@@ -85,12 +87,36 @@ def frame_of(spark, ids: np.ndarray, values: np.ndarray, name: str = "x") -> Dat
     return spark.createDataFrame(pa.table({"id": pa.array(np.asarray(ids, np.int64)), name: lists}))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Unset, a temporary folder is set and used, but only where everything runs in one process.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = f"file://{tempfile.mkdtemp(prefix='quillmere-')}"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder: evaluated once, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/quillmere-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dense_ids(frame: DataFrame) -> DataFrame:
-    """(id, index): ranks from 0 in the order of the ids.  Ranges of ids are numbered apart and offset, so no task sees all rows."""
-    spread = frame.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
-    from pyspark.sql import Window
+    """(id, index): ranks from 0 in the order of the ids.  Ranges of ids are numbered apart and offset, so no task sees all rows.
 
-    local = spread.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
+    The ranges are stored before they are counted: bounds of a second evaluation would differ.
+    """
+    spread = frame.select("id").repartitionByRange("id").sortWithinPartitions("id")
+    local = stored(spread.select("id", F.spark_partition_id().alias("part")), "ranges")
+    local = local.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
     sizes = sorted((r.part, r["count"]) for r in local.groupBy("part").count().collect())
     before, total = {}, 0
     for part, n in sizes:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import shared_folder
 from .distances import nearest
 
 #: Edges up to which a graph is worked on in memory.
@@ -100,12 +101,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint: bool =
             found = nodes.sparkSession.createDataFrame(pa.table({"node": pa.array(known, pa.int64()), "least": pa.array(label, pa.int64())}))
             return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("least", "id").alias("component"))
     links = both_ways(edges.select("a", "b", F.lit(1.0).alias("weight"))).select("a", "b").distinct()
-    context = nodes.sparkSession.sparkContext
-    if checkpoint and context.getCheckpointDir() is None:
-        import tempfile
-
-        base = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='quillmere-')}")
+    if checkpoint:
+        shared_folder(nodes.sparkSession)
     links = links.checkpoint() if checkpoint else links
     labels = nodes.select("id", F.col("id").alias("component"))
     while True:
@@ -125,14 +122,15 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: list[int]) -> Da
 
     Relaxation from the frontier, one job a round, until no cost falls.
     """
-    links = both_ways(edges).checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else both_ways(edges)
+    shared_folder(nodes.sparkSession)
+    links = both_ways(edges).checkpoint()
     best = nodes.select("id", F.when(F.col("id").isin(sources), 0.0).alias("cost"), F.lit(None).cast("long").alias("previous"), F.col("id").isin(sources).alias("fresh"))
     while True:
         offers = links.join(best.where("fresh").select(F.col("id").alias("a"), F.col("cost").alias("paid")), "a").groupBy("b").agg(F.min(F.struct((F.col("paid") + F.col("weight")).alias("cost"), F.col("a").alias("via"))).alias("offer"))
         joined = best.join(offers, F.col("id") == F.col("b"), "left")
         better = F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer.cost") < F.col("cost")))
         best = joined.select("id", F.when(better, F.col("offer.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("offer.via")).otherwise(F.col("previous")).alias("previous"), F.coalesce(better, F.lit(False)).alias("fresh"))
-        best = best.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else best.cache()
+        best = best.checkpoint()
         if best.where("fresh").isEmpty():
             return best.drop("fresh")
 
