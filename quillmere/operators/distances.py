@@ -61,7 +61,7 @@ def squared_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def _squared_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def squared_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of equally many rows, in the same order of sums."""
     total = np.zeros(len(x))
     for c in range(x.shape[1]):
@@ -118,7 +118,7 @@ class Block:
         kth[full] = value[order][starts[full] + count - 1]
         on = value <= (kth + 2 * error)[row]
         row, column = row[on], column[on]
-        exact = np.concatenate([_squared_rows(x[row[a : a + 100_000]], self.values[column[a : a + 100_000]]) for a in range(0, len(row), 100_000)]) if len(row) else np.zeros(0)
+        exact = np.concatenate([squared_rows(x[row[a : a + 100_000]], self.values[column[a : a + 100_000]]) for a in range(0, len(row), 100_000)]) if len(row) else np.zeros(0)
         order = np.lexsort((self.ids[column], exact, row))
         row, column, exact = row[order], column[order], exact[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)

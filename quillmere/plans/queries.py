@@ -194,12 +194,14 @@ def pca_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of a distance table: by definition as many as suppliers squared."""
     s = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    return s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("u")).crossJoin(s.select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))).select("i", "j", F.abs(F.col("u") - F.col("v")).alias("d"))
+    rows = s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("u")).repartition(spark.sparkContext.defaultParallelism * 2, "i")
+    return rows.crossJoin(s.select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))).select("i", "j", F.abs(F.col("u") - F.col("v")).alias("d"))
 
 
 def mds_double_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaling.double_centre(scaling.checked_table(_supplier_cells(spark, sf_dir))).select("i", "j", _fixed(F.col("b") / F.pi(), 2).alias("b"))
+    return scaling.double_centre(scaling.DistanceTable.of(_supplier_cells(spark, sf_dir))).select("i", "j", _fixed(F.col("b") / F.pi(), 2).alias("b"))
 
 
 def mds_table_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +229,7 @@ def mds_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mds_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """That map after one majorisation step."""
     ids, x, targets = _first_axis(spark, sf_dir)
-    out = targets.over_rows(scaling.misfit(x), 4)[:, 2:] / len(x)
+    out = targets.over_pairs(scaling.misfit(x), 4)[:, 2:] / len(x)
     return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, out)], "id long, x0 double, x1 double").select("id", _fixed("x0", 8).alias("x0"), _fixed("x1", 8).alias("x1"))
 
 

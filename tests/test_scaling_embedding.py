@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.functions.frames import frame_of
 from quillmere.operators import scaling
@@ -133,3 +134,40 @@ def test_own_method_and_refusals(spark):
     with pytest.raises(ValueError):
         embed(EmbeddingQuery(frame(spark, ribbon()), spark.range(3), spark.createDataFrame([(0, 1)], "a long, b long")))
     assert AutoMethod().describe() == "Automatic"
+
+
+def test_tables_of_many_tiles(spark):
+    x = RNG.normal(0, 1, (50, 3))
+    d, ids = apart(x), RNG.permutation(50) * 7 - 100
+    rows = spark.createDataFrame([(int(ids[i]), int(ids[j]), float(v)) for (i, j), v in np.ndenumerate(d)], "i long, j long, d double").repartition(5)
+    whole = scaling.from_distances(rows, scaling.ScalingOptions(3), local=True)
+    table = scaling.DistanceTable.of(rows, 16)
+    order = np.argsort(ids)
+    np.testing.assert_array_equal(table.matrix(), (d + d.T)[np.ix_(order, order)] / 2)
+    assert {(r.i, r.j): r.d for r in table.cells().collect()} == {(ids[i], ids[j]): v for (i, j), v in np.ndenumerate(d)}
+    s = d * d
+    b = -0.5 * (s - s.mean(1)[:, None] - s.mean(0)[None] + s.mean())
+    got = {(r.i, r.j): r.b for r in scaling.double_centre(table).collect()}
+    plain = {(r.i, r.j): r.b for r in scaling.double_centre(rows).collect()}
+    for (i, j), v in np.ndenumerate(b):
+        assert abs(got[ids[i], ids[j]] - v) < 1e-12 and abs(plain[ids[i], ids[j]] - v) < 1e-12
+    spread = scaling.from_distances(table, scaling.ScalingOptions(3), local=False)
+    np.testing.assert_allclose(spread.coordinates, whole.coordinates, atol=1e-7)
+    np.testing.assert_allclose(apart(spread.coordinates), d[np.ix_(order, order)], atol=1e-7)
+    for wrong in (rows.where("i <> j or i < 0"), rows.unionByName(rows.limit(1)), rows.where(f"j <> {int(ids[0])}"), rows.withColumn("d", F.when(F.col("i") < F.col("j"), F.col("d") * 2).otherwise(F.col("d")))):
+        with pytest.raises(ValueError):
+            scaling.DistanceTable.of(wrong, 16)
+
+
+def test_dense_ids_are_a_bijection(spark):
+    from quillmere.functions.frames import dense_ids
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for adaptive, n in (("false", 20_000), ("true", 2_000_000)):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            ids = spark.range(n).select((F.col("id") * 3 - 7).alias("id")).repartition(7)
+            got = dense_ids(ids).select("id", "index").agg(F.count_distinct("index").alias("n"), F.max("index").alias("most"), F.bool_and(F.col("id") == F.col("index") * 3 - 7).alias("right")).first()
+            assert (got.n, got.most, got.right) == (n, n - 1, True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
