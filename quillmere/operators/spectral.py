@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import dense_ids, frame_of
+from ..functions.frames import DRIVER_CELLS, dense_ids, frame_of
 from .graphs import connected_components, degrees, distributed_product, from_edges, local_components, local_product
 from .linalg import leading_eigen
 
@@ -56,6 +56,8 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, dimensions: int, seed
     if dimensions < 1:
         raise ValueError("at least one dimension is needed")
     edges = from_edges(edges).cache()
+    if (many := nodes.count()) * dimensions > DRIVER_CELLS:
+        raise ValueError(f"{many} nodes in {dimensions} dimensions are too many for the driver (limit {DRIVER_CELLS} values)")
     ids = np.sort(nodes.select("id").toArrow().column("id").to_numpy())
     table = edges.limit(LOCAL_EDGES + 1).toArrow() if local is not False else None
     if table is not None and (local or table.num_rows <= LOCAL_EDGES):

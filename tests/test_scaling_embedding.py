@@ -108,7 +108,8 @@ def test_spectral_ignores_given_weights_and_reports_pieces(spark):
     edges = spark.createDataFrame([(0, 1, 100.0), (1, 2, 1.0), (3, 4, 5.0)], "a long, b long, weight double")
     r = embed(EmbeddingQuery(nodes=spark.range(6), edges=edges), SpectralMethod())
     texts = " ".join(n.text for n in r.notes)
-    assert "2 separate pieces" in texts and "connect to nothing" in texts
+    assert "pieces of the graph: 2" in texts and "Without any edge" in texts
+    assert any("as given" in x for x in r.report())
     assert embed(EmbeddingQuery(frame(spark, ribbon())), SpectralMethod(neighbours=5)).coordinates.shape == (40, 2)
 
 
