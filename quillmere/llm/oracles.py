@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .rules import FENCE, GRID, GROUP_ROWS, SLACK
+from .rules import FENCE, GRID, GROUP_ROWS, LOWER, NOT_PUNCTUATION, SPARSE, UPPER
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[^\x20\x09-\x0D]+"
@@ -22,43 +22,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-_POINTS = " UNION ALL ".join(
-    f"SELECT lang, source, '{k}' AS what, {v} AS spot FROM g WHERE n_words > 0"
-    for k, v in {
-        "symbols": f"coalesce(least(n_symbols * {GRID} // nullif(word_chars, 0), {GRID}), 0)",
-        "repeated": f"coalesce(least(n_repeat_words * {GRID} // nullif(n_words, 0), {GRID}), 0)",
-        "lines": f"coalesce(least(n_dup_lines * {GRID} // nullif(n_lines, 0), {GRID}), 0)",
-        "length": f"coalesce(least(word_chars * 10 // nullif(n_words, 0), {GRID}), 0)",
-    }.items()
-)
-_SLACK = "CASE what " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items()) + " END"
+_VALUES = {
+    "length": f"least(word_chars * 100 // n_words, {GRID})",
+    "punctuation": f"least(n_punctuation * {GRID} // word_chars, {GRID})",
+    "variety": f"CAST(floor({GRID} * ln(n_distinct) / ln(n_words) + 1e-6) AS BIGINT)",
+    "repeated": f"least(n_repeat_words * {GRID} // n_words, {GRID})",
+    "lines": f"least(n_dup_lines * {GRID} // n_lines, {GRID})",
+}
+_POINTS = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS what, {v} AS spot FROM g WHERE NOT base_failed" for k, v in _VALUES.items())
+_NAMES = lambda names: ", ".join(f"'{x}'" for x in names)
 
 
 def _quartiles(name: str, keys: str) -> str:
     by = f"{keys}, what" if keys else "what"
     return (
-        f"{name}r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY spot) AS up_to, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, spot, count(*) AS n FROM p GROUP BY {by}, spot)), "
+        f"{name}r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY spot) AS up_to, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, spot, count(*) AS n FROM p WHERE spot > 0 OR what NOT IN ({_NAMES(SPARSE)}) GROUP BY {by}, spot)), "
         f"{name}q AS (SELECT {by}, max(total) AS total, min(spot) FILTER (up_to * 4 >= total) AS q1, min(spot) FILTER (up_to * 4 >= total * 2) AS q2, min(spot) FILTER (up_to * 4 >= total * 3) AS q3 FROM {name}r GROUP BY {by}), "
-        f"{name} AS (SELECT {by}, total, q3 + {FENCE} * (q3 - q2) + {_SLACK} AS hi, q1 - {FENCE} * (q2 - q1) - {_SLACK} AS lo FROM {name}q)"
+        f"{name} AS (SELECT {by}, total, CASE WHEN what IN ({_NAMES(SPARSE)}) THEN q3 * q3 // q2 ELSE q3 + {FENCE} * (q3 - q2) END AS hi, q1 - {FENCE} * (q2 - q1) AS lo FROM {name}q)"
     )
 
 
+def _level(bound: str) -> str:
+    return f"CASE WHEN o.total >= {GROUP_ROWS} THEN o.{bound} WHEN t.total >= {GROUP_ROWS} THEN t.{bound} WHEN a.total >= {GROUP_ROWS} THEN a.{bound} END AS {bound}"
+
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS ls FROM documents),
 e AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS t(i)),
 r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM e), unnest(range(0, 8)) AS t(o) WHERE c > 1 GROUP BY doc_id),
-g AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-  CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+f AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  length(regexp_replace(text, '{NOT_PUNCTUATION}', '', 'g')) AS n_punctuation, len(list_distinct(w)) AS n_distinct FROM d LEFT JOIN r USING (doc_id)),
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 p AS ({_POINTS}),
 {_quartiles("own", "lang, source")}, {_quartiles("tongue", "lang")}, {_quartiles("every", "")},
-lim AS (SELECT o.lang, o.source, o.what, CASE WHEN o.total >= {GROUP_ROWS} THEN o.hi WHEN t.total >= {GROUP_ROWS} THEN t.hi ELSE a.hi END AS hi, CASE WHEN o.total >= {GROUP_ROWS} THEN o.lo WHEN t.total >= {GROUP_ROWS} THEN t.lo ELSE a.lo END AS lo
-  FROM own o JOIN tongue t ON o.lang = t.lang AND o.what = t.what JOIN every a ON a.what = o.what),
-v AS (SELECT doc_id, bool_and(x.spot <= lim.hi AND (x.what <> 'length' OR x.spot >= lim.lo)) AS inside FROM (
-  SELECT doc_id, lang, source, unnest(['symbols', 'repeated', 'lines', 'length']) AS what, unnest([coalesce(least(n_symbols * {GRID} // nullif(word_chars, 0), {GRID}), 0), coalesce(least(n_repeat_words * {GRID} // nullif(n_words, 0), {GRID}), 0), coalesce(least(n_dup_lines * {GRID} // nullif(n_lines, 0), {GRID}), 0), coalesce(least(word_chars * 10 // nullif(n_words, 0), {GRID}), 0)]) AS spot FROM g) x
-  JOIN lim ON lim.lang = x.lang AND lim.source = x.source AND lim.what = x.what GROUP BY doc_id)
-SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(inside, true) AS kept
+k AS (SELECT DISTINCT lang, source, what FROM p),
+lim AS (SELECT k.lang, k.source, k.what, {_level("hi")}, {_level("lo")}
+  FROM k LEFT JOIN own o ON o.lang = k.lang AND o.source = k.source AND o.what = k.what LEFT JOIN tongue t ON t.lang = k.lang AND t.what = k.what LEFT JOIN every a ON a.what = k.what),
+v AS (SELECT doc_id, bool_and((p.what NOT IN ({_NAMES(UPPER)}) OR coalesce(spot <= hi, true)) AND (p.what NOT IN ({_NAMES(LOWER)}) OR coalesce(spot >= lo, true))) AS inside
+  FROM p JOIN lim ON lim.lang = p.lang AND lim.source = p.source AND lim.what = p.what GROUP BY doc_id)
+SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept
 FROM g LEFT JOIN v ON v.doc_id = g.doc_id
 """
 

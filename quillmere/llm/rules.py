@@ -1,11 +1,16 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Shares of symbols, repeated words and repeated lines, and the mean word length, are
-sketched per language and source: counts on a fixed grid (thousandths, and
-tenths of a character), which merge exactly by addition and give quantiles to
-one grid step.  A group of few documents uses the merged sketch of its language, or of all.
-A document that passes the base rules is kept while each value lies within its
-group's limits, set from the group's quartiles instead of fixed cutoffs.
+Five values of each document that passes the base rules are sketched per language and
+source: the mean word length, the share of punctuation, the variety of words
+(log distinct words over log words), and the shares of repeated words and lines.  A sketch
+counts values on a fixed grid; sketches merge exactly by addition and give quantiles to
+one grid step.  A group of few documents uses the merged sketch of its language, or of all; where
+these hold few as well there is no limit.
+
+All limits are quantiles of these sketches, without a constant of their own: a value may lie
+FENCE times as far beyond an outer quartile as this lies from the median.  Repeated words
+and lines are absent from most documents; there the sketch holds those that have some,
+and the upper quartile may be exceeded by its own ratio to the median.
 """
 
 from __future__ import annotations
@@ -17,12 +22,15 @@ from .common import BROADCAST_ROWS, written
 
 SPACE = r"[ \x09-\x0D]+"
 WINDOW = 8
-#: Documents that a group's own sketch needs.
+#: Documents that a group's own sketch of a value needs.
 GROUP_ROWS = 50
-#: Upper limit of a value: third quartile + FENCE * (third quartile - median) + slack; the lower one mirrors it.
-FENCE = 4
-SLACK = {"symbols": 60, "repeated": 240, "lines": 400, "length": 25}
-GRID = 1000
+#: How many times the distance from the median to a quartile a value may lie beyond that quartile.
+FENCE = 8
+GRID = 10_000
+#: Values with an upper and a lower limit, and those that most documents have none of.
+UPPER, LOWER, SPARSE = ("length", "punctuation", "repeated", "lines"), ("length", "variety"), ("repeated", "lines")
+#: What is not ASCII punctuation.
+NOT_PUNCTUATION = r"[^!-/:-@\[-`{-~]+"
 
 
 def repeated_words(words: str, codes: str) -> Column:
@@ -37,19 +45,19 @@ def repeated_words(words: str, codes: str) -> Column:
 
 
 def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_punctuation, n_distinct."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(lang_column).cast("string").alias("lang"), F.col(source_column).cast("string").alias("source"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \x09-\x0D]"))
     split = base.select(
         "doc_id", "lang", "source",
         F.array_remove(F.split("text", SPACE, -1), "").alias("words"), lines.alias("lines"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"), F.length(F.regexp_replace("text", NOT_PUNCTUATION, "")).cast("long").alias("n_punctuation"),
     )
     n = F.size("words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     coded = split.select(
-        "doc_id", "lang", "source", "n_symbols", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "doc_id", "lang", "source", "n_symbols", "n_punctuation", F.size(F.array_distinct("words")).cast("long").alias("n_distinct"), n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "words", windows.alias("windows"),
     )
     # only texts in which some window repeats go on to the sorted form, there by the words themselves
@@ -58,44 +66,51 @@ def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     sorted_codes = coded.withColumn("codes", F.when(repeats, F.sort_array(exact)))
     return sorted_codes.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.coalesce(F.when(F.col("codes").isNotNull(), repeated_words("words", "codes")), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(F.when(F.col("codes").isNotNull(), repeated_words("words", "codes")), F.lit(0)).cast("long").alias("n_repeat_words"), "n_punctuation", "n_distinct",
     )
 
 
+def failed() -> Column:
+    """The base rules of the contract."""
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def values() -> dict[str, Column]:
-    """Grid values of a measured row, integers from 0 to GRID."""
+    """Grid values of a measured row that passes the base rules, integers from 0 to GRID."""
 
     def share(a: str, b: str, scale: int = GRID) -> Column:
         return F.least(F.floor(F.try_divide(F.col(a) * scale, F.col(b))), F.lit(GRID).cast("long"))
 
-    shares = {"symbols": share("n_symbols", "word_chars"), "repeated": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "length": share("word_chars", "n_words", 10)}
-    return {k: F.coalesce(v, F.lit(0).cast("long")) for k, v in shares.items()}
+    # the small addend keeps quotients that are whole but for the last bit on one side
+    variety = F.floor(GRID * F.log("n_distinct") / F.log("n_words") + 1e-6)
+    found = {"length": share("word_chars", "n_words", 100), "punctuation": share("n_punctuation", "word_chars"), "variety": variety, "repeated": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines")}
+    return {k: F.coalesce(v, F.lit(0).cast("long")) for k, v in found.items()}
 
 
 def limits(measured: DataFrame) -> DataFrame:
     """Limits by (lang, source): lo and hi of each value, from the sketch of the group, its language or all rows."""
-    points = measured.where("n_words > 0").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), v.alias("at")) for k, v in values().items()))).alias("p"))
+    whole = measured.where(~failed())
+    points = whole.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), v.alias("at")) for k, v in values().items()))).alias("p"))
     group = points.groupBy("lang", "source", F.col("p.what").alias("what"), F.col("p.at").alias("at")).agg(F.count("*").alias("n"))
     merged = {
         0: group,
         1: group.groupBy("lang", "what", "at").agg(F.sum("n").alias("n")).withColumn("source", F.lit(None).cast("string")),
         2: group.groupBy("what", "at").agg(F.sum("n").alias("n")).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}),
     }
-    quartiles = {}
+    chosen = {}
     for level, sketch in merged.items():
         keys = ["lang", "source", "what"]
         w = Window.partitionBy(*keys)
-        ranked = sketch.withColumn("up_to", F.sum("n").over(w.orderBy("at"))).withColumn("total", F.sum("n").over(w))
+        present = sketch.where((F.col("at") > 0) | ~F.col("what").isin(*SPARSE))
+        ranked = present.withColumn("up_to", F.sum("n").over(w.orderBy("at"))).withColumn("total", F.sum("n").over(w))
         first = lambda q: F.min(F.when(F.col("up_to") * 4 >= F.col("total") * q, F.col("at")))
         q = ranked.groupBy(*keys).agg(F.max("total").alias("total"), *(first(k).alias(f"q{k}") for k in (1, 2, 3)))
-        slack = F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv))[F.col("what")]
-        q = q.withColumn("hi", F.col("q3") + FENCE * (F.col("q3") - F.col("q2")) + slack).withColumn("lo", F.col("q1") - FENCE * (F.col("q2") - F.col("q1")) - slack)
-        one = [F.max(F.when(F.col("what") == k, F.struct("lo", "hi"))).alias(k) for k in SLACK]
-        quartiles[level] = q.groupBy("lang", "source").agg(F.max("total").alias("total"), *one)
-    own, lang, every = (quartiles[k].select(*(F.col(c).alias(f"{c}_{k}") for c in quartiles[k].columns)) for k in (0, 1, 2))
-    joined = own.join(lang, F.col("lang_0").eqNullSafe(F.col("lang_1")), "left").join(F.broadcast(every), F.lit(True), "left")
-    chosen = [F.when(F.col("total_0") >= GROUP_ROWS, F.col(f"{k}_0")).when(F.col("total_1") >= GROUP_ROWS, F.col(f"{k}_1")).otherwise(F.col(f"{k}_2")).alias(k) for k in SLACK]
-    return joined.select(F.col("lang_0").alias("lang"), F.col("source_0").alias("source"), *chosen)
+        fence = F.col("q3") + FENCE * (F.col("q3") - F.col("q2"))
+        q = q.withColumn("hi", F.when(F.col("what").isin(*SPARSE), F.floor(F.col("q3") * F.col("q3") / F.col("q2"))).otherwise(fence)).withColumn("lo", F.col("q1") - FENCE * (F.col("q2") - F.col("q1")))
+        one = [F.max(F.when((F.col("what") == k) & (F.col("total") >= GROUP_ROWS), F.struct("lo", "hi"))).alias(f"{k}_{level}") for k in values()]
+        chosen[level] = q.groupBy(F.col("lang").alias(f"lang_{level}"), F.col("source").alias(f"source_{level}")).agg(*one)
+    joined = chosen[0].join(chosen[1], F.col("lang_0").eqNullSafe(F.col("lang_1")), "left").join(F.broadcast(chosen[2]), F.lit(True), "left")
+    return joined.select(F.col("lang_0").alias("lang"), F.col("source_0").alias("source"), *(F.coalesce(*(F.col(f"{k}_{level}") for level in chosen)).alias(k) for k in values()))
 
 
 def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
@@ -111,8 +126,8 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     joined = measured.join(table.withColumnsRenamed({"lang": "l", "source": "s"}), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     inside = F.lit(True)
     for k, v in values().items():
-        inside = inside & (v <= F.col(k)["hi"])
-        if k == "length":
-            inside = inside & (v >= F.col(k)["lo"])
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept"))
+        if k in UPPER:
+            inside = inside & F.coalesce(v <= F.col(k)["hi"], F.lit(True))
+        if k in LOWER:
+            inside = inside & F.coalesce(v >= F.col(k)["lo"], F.lit(True))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), (~failed() & inside).alias("kept"))

@@ -471,6 +471,41 @@ def test_quality_rules(docs, none):
     assert rules.quality_rules(none).count() == 0
 
 
+def test_quality_limits_follow_the_groups(spark):
+    """Plain quartiles give the same limits; they differ by group, and a small group uses its language's."""
+    rng = np.random.default_rng(8)
+
+    def text(width, marks):
+        words = ["".join(rng.choice(list("abcdefgh"), max(1, int(rng.normal(width, 0.5))))) for _ in range(60)]
+        return " ".join(w + ("!" if rng.random() < marks else "") for w in words)
+
+    plan = [("en", "a", 5, 0.1, 80), ("en", "b", 9, 0.4, 80), ("en", "c", 5, 0.1, 5), ("de", "a", 7, 0.2, 60)]
+    rows = [(text(width, marks), lang, source) for lang, source, width, marks, n in plan for _ in range(n)]
+    rows += [(text(14, 0.1), "en", "a"), (text(5, 1.0) + " ?!?!?! " * 30, "en", "a"), (text(9, 0.4), "en", "b")]
+    own = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    measured = rules.measures(own)
+    got = {(r.lang, r.source): r for r in rules.limits(measured).collect()}
+    points = defaultdict(list)
+    for r in measured.where(~rules.failed()).select("lang", "source", *(v.alias(k) for k, v in rules.values().items())).collect():
+        for k in rules.values():
+            if r[k] or k not in rules.SPARSE:
+                for key in ((r.lang, r.source), (r.lang,), ()):
+                    points[key, k].append(r[k])
+    for lang, source, *_ in plan:
+        for k in rules.values():
+            x = next((sorted(points[key, k]) for key in ((lang, source), (lang,), ()) if len(points[key, k]) >= rules.GROUP_ROWS), None)
+            if not x:
+                assert got[lang, source][k] is None
+                continue
+            q1, q2, q3 = (x[-(-len(x) * q // 4) - 1] for q in (1, 2, 3))
+            hi = q3 * q3 // q2 if k in rules.SPARSE else q3 + rules.FENCE * (q3 - q2)
+            assert tuple(got[lang, source][k]) == (q1 - rules.FENCE * (q2 - q1), hi)
+    assert len({got[key].length for key in got if key != ("en", "c")}) == 3
+    kept = {r.doc_id: r.kept for r in rules.quality_rules(own).collect()}
+    n = len(rows)
+    assert not kept[n - 3] and not kept[n - 2] and kept[n - 1] and sum(kept.values()) >= n - 4
+
+
 def test_scratch_is_cleared(spark):
     from quillmere.llm.common import clear_scratch, written
 
