@@ -35,12 +35,15 @@ def arrow_batches(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where the setting is absent (tests), a temporary folder is set and used.
+    Where the setting is absent (tests), a temporary folder is set and used, but only in
+    local mode: on a cluster it would be a folder of one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='quillmere-')}"
         spark.sparkContext.setCheckpointDir(base)
     _MADE.append(f"{base.rstrip('/')}/quillmere-{what}-{uuid.uuid4().hex}")
@@ -64,6 +67,14 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_turn(shared: list):
+    """The values of broadcasts one after the other; of several, only the present one is held by the worker."""
+    for one in shared:
+        yield one.value
+        if len(shared) > 1:
+            one.__dict__.pop("_value", None)
+
+
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,6 +99,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = SLICE_BYTE
         start = stop
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until they clash with no column of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken or f"{name}_".lower() in taken:
+            name += "_x"
+        out.append(name)
+    return out
+
+
+def share_limit(rows: int, of: int) -> int:
+    """What at most a share rows / of of all 64-bit hashes reach, however small the share."""
+    return -(2**63) + min(2**64 - 1, 2**64 * rows // max(of, 1))
+
+
+def chosen(id_column: str, rows: int, of: int) -> F.Column:
+    """Whether a hash of the id falls into the share rows / of: about ``rows`` ids of ``of``."""
+    return F.xxhash64(id_column) <= F.lit(share_limit(rows, of))
+
+
 def fold(id_column: str, of: int) -> F.Column:
     """crc32 of the id as text, modulo ``of``: the contract's folds."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(of)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BROADCAST_ROWS, raw_text, slices, written
+from .common import BROADCAST_ROWS, fresh, raw_text, slices, written
 from .components import components
 
 SYMBOLS, CHUNK, ERRORS = 64, 4, 1
@@ -45,30 +45,30 @@ _MULTIPLIERS = W.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """64 symbols of 16 bits of a non-empty set of 64-bit hashes."""
+    """64 symbols of 16 bits of a non-empty set of 64-bit hashes: low bits of the mixed minima, as likely in large sets as in small ones."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 1024):
         np.minimum(least, (_MULTIPLIERS[:, None] * shingles[None, i : i + 1024]).min(axis=1), out=least)
-    return (least >> np.uint64(48)).astype("<u2").tobytes()
+    return (W.mix(least) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for part in slices(batch):
         data, offsets = raw_text(part.column("text"))
         data = W.LOWER[data]
         starts, ends, first = W.spans(data, offsets, W.SPACE_WORD)
-        yield part.column("doc_id"), W.shingles(W.hashes(data, starts, ends), first, width)
+        yield part, W.shingles(W.hashes(data, starts, ends), first, width)
 
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in _sets(batch, width):
+            for part, sets in _sets(batch, width):
                 sums = [(s.sum(), W.mix(s).sum()) if len(s) else (np.uint64(0), np.uint64(0)) for s in sets]
                 h = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "text_key", "n_shingles", "h1", "h2", "sig"],
                 )
 
     return run
@@ -100,10 +100,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in _sets(batch, width):
+            for part, sets in _sets(batch, width):
                 sizes = np.cumsum([0] + [len(s) for s in sets])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "items"])
 
     return run
 
@@ -111,8 +111,8 @@ def _shingle_sets(width: int):
 def _shortened(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([np.unique(s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SHORT else b"" for s in sets], pa.binary())], ["id", "short"])
+            for part, sets in _sets(batch, width):
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([np.unique(s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SHORT else b"" for s in sets], pa.binary())], ["id", "short"])
 
     return run
 
@@ -230,17 +230,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _pairs(g["rep"][x[first]], g["rep"][y[first]])
 
 
-def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents; their ids are broadcast only while they are few."""
-    ids = written(ids, "ids")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+def _of(texts: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the representatives among ``nodes``; their keys are broadcast only while they are few."""
+    wanted = written(reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("rep_id"), F.col("text_key").alias("rep_key")), "nodes")
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return texts.join(near, (F.col("doc_id") == F.col("rep_id")) & (F.col("text_key") == F.col("rep_key"))).select("node", "text")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Of pairs (a, b) of document ids those with 100 * intersection >= 75 * union of the full sets; written."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those with 100 * intersection >= 75 * union of the full sets; written."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _of(texts, ids).mapInArrow(_shingle_sets(width), "id long, items array<long>")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _of(texts, reps, nodes).mapInArrow(_shingle_sets(width), "id long, items array<long>")
     joined = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
@@ -250,7 +251,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return written(linked.select("a", "b").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:
+def text_key(column: str) -> F.Column:
+    """64 bits by which rows of one id are told apart; null texts have one too."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, keyed: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest linked id), kept.
 
     Null, empty and word-free texts have an empty set: linked with nothing, kept.
@@ -258,29 +264,33 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copies another document takes its component and is not kept; without such a
     copy its component is null and it is kept.  Rows that repeat an id are each
     judged by their own text.  No rows give no rows; other columns are not read.
+    ``keyed`` adds text_key (``text_key`` of the text) and stays: whether the row is the
+    one of its group by smallest id and, among rows of that id, smallest key.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_sign(width), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signed")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), text_key(text_column).alias("text_key"))
+    signed = written(texts.mapInArrow(_sign(width), "doc_id long, text_key long, n_shingles long, h1 long, h2 long, sig binary"), "signed")
 
-    # exact copies of a set: one representative, the smallest id
-    grouped = signed.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2", "sig").agg(F.min("doc_id").alias("rep"))
-    reps = written(grouped.where("rep is not null"), "reps")
+    # exact copies of a set: one representative, the smallest id, and a node of the graph with a number of its own
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
+    grouped = signed.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2", "sig").agg(F.min(row).alias("first"))
+    named = grouped.where("first is not null").select("n_shingles", "h1", "h2", "sig", "first.doc_id", "first.text_key")
+    reps = written(named.withColumn("node", F.monotonically_increasing_id()), "reps")
 
-    keys = reps.select("rep", "sig").mapInArrow(_index, "key long, rep long")
+    keys = reps.select(F.col("node").alias("rep"), "sig").mapInArrow(_index, "key long, rep long")
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("members")).where("pivot <> last")
     members = written(keys.join(shared.drop("last"), "key"), "members")
 
-    sizes = reps.select(F.col("rep"), F.col("n_shingles").alias("n"), "sig")
+    sizes = reps.select(F.col("node").alias("rep"), F.col("n_shingles").alias("n"), "sig")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    # a key's smallest document stands in all of its blocks
+    # a key's smallest node stands in all of its blocks
     blocked = members.withColumn("block", F.explode(F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(side))))
     forest = (
         blocked.join(sizes, "rep").select("key", "block", "rep", "n", "sig")
         .repartition("key", "block").sortWithinPartitions("key", "block")
         .mapInArrow(_forest, "a long, b long").distinct()
     )
-    first = components(_confirmed(forest, texts, width))
+    first = components(_confirmed(forest, texts, reps, width))
 
     # what still lies apart under one of the larger keys
     placed = written(
@@ -289,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     apart = written(placed.join(split, "key").join(sizes, "rep"), "apart")
-    short = _of(texts, apart.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_shortened(width), "id long, short binary")
+    short = _of(texts, reps, apart.select(F.col("rep").alias("node")).distinct()).mapInArrow(_shortened(width), "id long, short binary")
     rows = (
         apart.join(short.groupBy(F.col("id").alias("rep")).agg(F.when(F.count("*") == 1, F.min("short")).otherwise(F.lit(b"")).alias("short")), "rep")
         .withColumn("side", side)
@@ -300,18 +310,39 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         .mapInArrow(_across, "a long, b long").distinct()
     )
-    links = _confirmed(across, texts, width)
+    links = _confirmed(across, texts, reps, width)
     label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     joined = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
     second = components(joined).select(F.col("node").alias("inner"), F.col("component").alias("outer"))
 
-    final = (
-        reps.join(first, F.col("rep") == F.col("node"), "left")
-        .withColumn("inner", F.coalesce("component", "rep"))
-        .select("n_shingles", "h1", "h2", "inner")
-        .join(second, "inner", "left")
-        .select("n_shingles", "h1", "h2", F.coalesce("outer", "inner").alias("component_id"))
-    )
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = signed.where("n_shingles > 0").join(final, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    placed_in = reps.select("node", "n_shingles", "h1", "h2", "doc_id", "text_key").join(first, "node", "left").withColumn("inner", F.coalesce("component", "node"))
+    group = written(placed_in.join(second, "inner", "left").select("n_shingles", "h1", "h2", "doc_id", "text_key", F.coalesce("outer", "inner").alias("group")), "groups")
+    # only groups of several sets need another look for their smallest document
+    least = group.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    final = group.join(least, "group", "left").select("n_shingles", "h1", "h2", F.coalesce("least", F.struct("doc_id", "text_key")).alias("least"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    own = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & ((F.col("text_key") == F.col("least.text_key")) | F.col("least").isNull())
+    linked = signed.where("n_shingles > 0").join(final, ["n_shingles", "h1", "h2"], "left").select("doc_id", "text_key", "n_shingles", F.col("least.doc_id").alias("component_id"), own.alias("stays"))
+    judged = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return judged.select("doc_id", "n_shingles", "component_id", "kept", *(["text_key", "stays"] if keyed else []))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near duplicates, that of the smallest id, with all its columns.
+
+    Rows are told apart by id and text together.  Of rows that repeat both, one stays.
+    Rows without an id that copy no document with one all stay, as do rows without words
+    that differ in id or text.
+    """
+    verdict = written(near_duplicates(docs, id_column, text_column, width, keyed=True), "verdict")
+    names = fresh(docs, "row_id", "row_key")
+    keys = [F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])]
+    same = F.col(id_column).eqNullSafe(F.col(names[0])) & (text_key(text_column) == F.col(names[1]))
+    drop = written(verdict.where(~F.col("stays")).select(*keys).distinct(), "drop")
+    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, same, "left_anti")
+    again = written(verdict.where("stays and doc_id is not null").groupBy(*keys).count().where("count > 1").drop("count"), "again")
+    if again.isEmpty():
+        return kept
+    marked = kept.withColumn(names[1], text_key(text_column))
+    twice = kept.join(again, same, "left_semi").withColumn(names[1], text_key(text_column)).dropDuplicates([id_column, names[1]])
+    return marked.join(again.withColumnRenamed(names[1], f"{names[1]}_"), F.col(id_column).eqNullSafe(F.col(names[0])) & (F.col(names[1]) == F.col(f"{names[1]}_")), "left_anti").unionByName(twice).drop(names[1])
