@@ -2,9 +2,8 @@
 
 A text's bytes are cut into overlapping chunks that cover all of it.  Learned
 filters run over each chunk's bytes (through a learned byte embedding) and
-are max-pooled; the share of the chunk's eight-byte runs that it repeats
-is one more pooled value.  The largest and the mean pooled values of the chunks
-are combined by a logistic layer into one probability.
+are max-pooled.  The largest and the mean pooled values of the chunks are combined by
+a logistic layer into one probability.
 
 Trained with Adam on a bounded sample of labelled rows on the driver; scored on
 the executors.  With the weights fixed, each filter tap is a table by byte, so a
@@ -22,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, raw_text, slices
+from .common import chosen, fold, raw_text, slices
 
 CHUNK, STEP = 1024, 896
 FILTERS, TAPS, EMBED = 16, 6, 8
 #: Labelled rows that the network is trained on, at most about this many, none of more than so many bytes.
 TRAIN_ROWS, TRAIN_BYTES = 3_000, 32_768
-EPOCHS, BATCH, RATE = 5, 32, 0.01
+EPOCHS, BATCH, RATE = 7, 32, 0.01
 THRESHOLD = 0.7
 #: Chunks that are convolved at once.
 _BLOCK = 16
@@ -46,25 +45,17 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(inside, padded[np.where(inside, offsets[:-1][text][:, None] + at, len(data))], np.uint8(0)), np.concatenate([[0], np.cumsum(count)])
 
 
-def repeats(matrix: np.ndarray) -> np.ndarray:
-    """Share of a chunk's eight-byte runs that equal another run of it."""
-    runs = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(matrix, 8, axis=1)).view(np.uint64)[:, :, 0]
-    runs = np.sort(runs, axis=1)
-    again = ((runs[:, 1:] == runs[:, :-1]) & (runs[:, 1:] != 0)).sum(axis=1)
-    return again / np.maximum((runs != 0).sum(axis=1), 1)
-
-
 @dataclass
 class Network:
     embed: np.ndarray  # (256, EMBED)
     filters: np.ndarray  # (TAPS, EMBED, FILTERS)
     bias: np.ndarray  # (FILTERS,)
-    dense: np.ndarray  # (2 * (FILTERS + 1) + 1,)
+    dense: np.ndarray  # (2 * FILTERS + 1,)
 
     @classmethod
     def new(cls, seed: int = 1) -> Network:
         r = np.random.default_rng(seed)
-        return cls(r.normal(0, 0.5, (256, EMBED)), r.normal(0, 0.3, (TAPS, EMBED, FILTERS)), np.zeros(FILTERS), r.normal(0, 0.1, 2 * (FILTERS + 1) + 1))
+        return cls(r.normal(0, 0.5, (256, EMBED)), r.normal(0, 0.3, (TAPS, EMBED, FILTERS)), np.zeros(FILTERS), r.normal(0, 0.1, 2 * FILTERS + 1))
 
     def taps(self) -> np.ndarray:
         """(TAPS, 256, FILTERS): what a byte adds to each filter at each tap."""
@@ -85,16 +76,16 @@ class Network:
             out[i : i + _BLOCK] = total.max(axis=1)
         return out, place
 
-    def combine(self, pooled: np.ndarray, repeated: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chunk values (chunks, FILTERS + 1) and the logistic layer's inputs."""
-        value = np.column_stack([np.maximum(pooled + self.bias, 0), 4 * repeated])
+    def combine(self, pooled: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk values (chunks, FILTERS) and the logistic layer's inputs."""
+        value = np.maximum(pooled + self.bias, 0)
         n = np.diff(bounds)[:, None]
         x = np.column_stack([np.maximum.reduceat(value, bounds[:-1]), np.add.reduceat(value, bounds[:-1]) / n, np.ones(len(n))])
         return value, x
 
     def score(self, data: np.ndarray, offsets: np.ndarray, taps: np.ndarray) -> np.ndarray:
         matrix, bounds = chunks(data, offsets)
-        _, x = self.combine(self.pooled(matrix, taps)[0], repeats(matrix), bounds)
+        _, x = self.combine(self.pooled(matrix, taps)[0], bounds)
         return 1 / (1 + np.exp(-np.clip(x @ self.dense, -30, 30)))
 
 
@@ -102,7 +93,6 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int
     """Adam on the cross-entropy; labels 0 or 1, one for each text."""
     net, r = Network.new(seed), np.random.default_rng(seed)
     matrix, bounds = chunks(data, offsets)
-    repeated = repeats(matrix)
     weights = [net.embed, net.filters, net.bias, net.dense]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
@@ -114,15 +104,15 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int
             own = np.concatenate([[0], np.cumsum(np.diff(bounds)[texts])])
             part = matrix[rows]
             pooled, place = net.pooled(part, net.taps(), where=True)
-            value, x = net.combine(pooled, repeated[rows], own)
+            value, x = net.combine(pooled, own)
             p = 1 / (1 + np.exp(-np.clip(x @ net.dense, -30, 30)))
             miss = (p - labels[texts]) / len(texts)
             g_dense = x.T @ miss + 1e-4 * net.dense
             g_x = miss[:, None] * net.dense[None, :]
             text = np.repeat(np.arange(len(texts)), np.diff(own))
             top = value == np.maximum.reduceat(value, own[:-1])[text]
-            k = FILTERS + 1
-            g = (top * g_x[text, :k] / np.maximum(np.add.reduceat(top, own[:-1]), 1)[text] + g_x[text, k : 2 * k] / np.diff(own)[text][:, None])[:, :FILTERS] * (value[:, :FILTERS] > 0)
+            k = FILTERS
+            g = (top * g_x[text, :k] / np.maximum(np.add.reduceat(top, own[:-1]), 1)[text] + g_x[text, k : 2 * k] / np.diff(own)[text][:, None]) * (value > 0)
             window = part[np.arange(len(part))[:, None, None], place[:, :, None] + np.arange(TAPS)]  # (chunks, FILTERS, TAPS)
             seen = net.embed[window]  # (chunks, FILTERS, TAPS, EMBED)
             g_filters = np.einsum("cf,cfte->tef", g, seen)
@@ -143,9 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     Where one class has no such row the result is no network but the share of label 1.
     """
     side = labels.where(F.col(label_column).isin(0, 1) & (fold(id_column, 4) != 2)).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
-    n = side.count()
-    share = int(min(1.0, rows / max(n, 1)) * 1_000_000)
-    sample = side.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+    sample = side.where(chosen("id", rows, side.count()))
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
     table = base.join(F.broadcast(sample), "id").select("id", "text", "label").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     y = table.column("label").to_numpy().astype(float)
