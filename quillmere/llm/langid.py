@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fold, raw_text, slices
+from .common import fold, raw_text, share_limit, slices
 
 BITS, ORDERS = 16, 3
 #: Labelled rows of each language that the model is fitted on, at most about this many.
@@ -108,8 +108,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     languages = sorted(sizes)
     counts = np.zeros((len(languages), 1 << BITS))
     if languages:
-        share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, int(min(1.0, rows_per_language / sizes[lang]) * 1_000_000))))
-        sample = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+        limit = F.create_map(*(F.lit(x) for lang in languages for x in (lang, share_limit(rows_per_language, sizes[lang]))))
+        sample = base.where(F.xxhash64("id") <= limit[F.col("lang")]).select("lang", "text")
         table = sample.mapInArrow(_count(languages, "text"), "language int, slot int, n long").groupBy("language", "slot").agg(F.sum("n").alias("n")).toArrow()
         counts[table.column("language").to_numpy(), table.column("slot").to_numpy()] = table.column("n").to_numpy()
     log_p = np.log(counts + _SMOOTH) - np.log((counts + _SMOOTH).sum(axis=1, keepdims=True))
