@@ -10,8 +10,11 @@ words and over the whole text.  A logistic curve, fitted on labelled rows
 that gave no counts, turns the values into a probability.
 
 Counts are summed on the executors over all labelled rows of their folds.  The
-scoring tables hold every counted n-gram, exactly, and grow with their number
-(12 bytes a slot, at most two thirds of the slots taken); they are made on the driver and broadcast.
+scoring tables hold every counted n-gram, exactly.  All that the likelihood of a byte needs
+shares the three bytes before it, so the tables fall into shards by these: as many
+as there are n-grams for, each of bounded size, made and broadcast one by one.  A worker holds
+one shard at a time and takes a few megabytes of text through all of them.  Only the
+shared counts of three bytes (at most 2**24) stand apart.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import BROADCAST_ROWS, fold, raw_text, slices, written
+from .common import BROADCAST_ROWS, chosen, fold, in_turn, raw_text, slices, written
 
 DISCOUNT = 0.75
 #: Bytes of a window: about a word with its neighbours, and about a line.
@@ -34,6 +37,10 @@ NARROW, WIDE = 48, 192
 #: Labelled rows on which the logistic curve is fitted, at most about this many.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
+#: Five-grams of one shard: its tables take some 60 bytes for each.
+SHARD_GRAMS = 2_000_000
+#: Bytes of text that go through all shards together.
+_TOGETHER = 4 << 20
 _SPACE = 0x20
 
 
@@ -142,61 +149,65 @@ def _order(keys: np.ndarray, n: np.ndarray, below: np.ndarray) -> tuple[np.ndarr
     return p, (context, np.log(weight[:, 1]) - np.log(weight[:, 0]))
 
 
+class Lower:
+    """P(last byte | two bytes before) from the continuation counts of both classes: counts and kinds by trigram, ascending."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, kinds: np.ndarray):
+        uni = np.bincount((keys & np.uint64(0xFF)).astype(np.int64), kinds, 256) + 0.01
+        one = uni / uni.sum()
+        pairs, followed = np.unique(keys & np.uint64(0xFFFF), return_counts=True)
+        two, weight, context = self._level(pairs, followed.astype(float), one[(pairs & np.uint64(0xFF)).astype(np.int64)])
+        back = np.ones(256)
+        back[context.astype(np.int64)] = weight
+        self.two = (back[:, None] * one[None, :]).ravel()
+        self.two[pairs.astype(np.int64)] = two
+        self.keys = keys
+        self.value, self.weight, self.context = self._level(keys, n.astype(float), self.two[(keys & np.uint64(0xFFFF)).astype(np.int64)])
+
+    @staticmethod
+    def _level(keys: np.ndarray, n: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of the keys, and by context (ascending) the backoff weight."""
+        context, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(at, n, len(context)), np.bincount(at, minlength=len(context))
+        weight = DISCOUNT * kinds / total
+        return np.maximum(n - DISCOUNT, 0) / total[at] + weight[at] * below, weight, context
+
+    def p(self, wanted: np.ndarray) -> np.ndarray:
+        """Of the low three bytes of ``wanted``."""
+        ask = wanted & np.uint64(0xFFFFFF)
+        i = np.minimum(np.searchsorted(self.keys, ask), len(self.keys) - 1)
+        j = np.minimum(np.searchsorted(self.context, ask >> np.uint64(8)), len(self.context) - 1)
+        back = np.where(self.context[j] == ask >> np.uint64(8), self.weight[j], 1.0)
+        return np.where(self.keys[i] == ask, self.value[i], back * self.two[(ask & np.uint64(0xFFFF)).astype(np.int64)])
+
+
 def _shared(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """P(last byte | two bytes before) of the low 24 bits of ``wanted``, from the continuation counts of both classes."""
-    n = n.sum(axis=1).astype(float)
-    low = np.full(256, 0.01)
-    uni = np.bincount((keys & np.uint64(0xFF)).astype(np.int64), minlength=256) + low
-    p = uni / uni.sum()
-    table = p
-    for bits in (16, 24):
-        k = keys & np.uint64((1 << bits) - 1)
-        if bits == 24:
-            seen, count = np.unique(k, return_inverse=True)
-            count = np.bincount(count, n, len(seen))
-        else:
-            seen, count = np.unique(np.unique(keys & np.uint64(0xFFFFFF)) & np.uint64(0xFFFF), return_counts=True)
-        context, at = np.unique(seen >> np.uint64(8), return_inverse=True)
-        total, kinds = np.bincount(at, count, len(context)), np.bincount(at, minlength=len(context))
-        below = table[(seen & np.uint64((1 << (bits - 8)) - 1)).astype(np.int64)]
-        value = np.maximum(count - DISCOUNT, 0) / total[at] + (DISCOUNT * kinds / total)[at] * below
-        if bits == 16:
-            weight = np.ones(256)
-            weight[context.astype(np.int64)] = DISCOUNT * kinds / total
-            table = (weight[:, None] * p[None, :]).ravel()
-            table[seen.astype(np.int64)] = value
-        else:
-            ask = wanted & np.uint64(0xFFFFFF)
-            i = np.minimum(np.searchsorted(seen, ask), len(seen) - 1)
-            j = np.minimum(np.searchsorted(context, ask >> np.uint64(8)), len(context) - 1)
-            bow = np.where(context[j] == ask >> np.uint64(8), (DISCOUNT * kinds / total)[j], 1.0)
-            return np.where(seen[i] == ask, value[i], bow * table[(ask & np.uint64(0xFFFF)).astype(np.int64)])
-    raise AssertionError
+    """``Lower`` of all four-grams and their class continuation counts, asked at once."""
+    tri, at, kinds = np.unique(keys & np.uint64(0xFFFFFF), return_inverse=True, return_counts=True)
+    return Lower(tri, np.bincount(at, n.sum(axis=1), len(tri)), kinds).p(wanted)
 
 
 @dataclass
-class Model:
-    """Log ratios by five-gram and four-gram, the same of the backoff weights by context, and the logistic curve."""
+class Shard:
+    """Log ratios by five-gram and four-gram, and the same of the backoff weights by context."""
 
     five: Table
     four: Table
     five_back: Table
     four_back: Table
-    curve: np.ndarray
-    rate: float
 
     @classmethod
-    def of(cls, five: tuple[np.ndarray, np.ndarray], four: tuple[np.ndarray, np.ndarray]) -> Model:
-        """five: (keys, class counts); four: (keys, class continuation counts); both ascending and whole."""
+    def of(cls, five: tuple[np.ndarray, np.ndarray], four: tuple[np.ndarray, np.ndarray], lower: Lower) -> Shard:
+        """five: (keys, class counts); four: (keys, class continuation counts); both ascending and all of the shard's."""
         if not len(five[0]) or not len(four[0]):
             none = Table(np.zeros(0, np.uint64), np.zeros(0))
-            return cls(none, none, none, none, np.zeros(4), 0.0)
-        p4, back4 = _order(*four, _shared(four[0], four[1], four[0])[:, None])
+            return cls(none, none, none, none)
+        p4, back4 = _order(*four, lower.p(four[0])[:, None])
         at = np.minimum(np.searchsorted(four[0], five[0] & np.uint64(0xFFFFFFFF)), len(four[0]) - 1)
         known = (four[0][at] == five[0] & np.uint64(0xFFFFFFFF))[:, None]
-        p5, back5 = _order(*five, np.where(known, p4[at], _shared(four[0], four[1], five[0])[:, None]))
+        p5, back5 = _order(*five, np.where(known, p4[at], lower.p(five[0])[:, None]))
         ratio = lambda p: np.log(p[:, 1]) - np.log(p[:, 0])
-        return cls(Table(five[0], ratio(p5)), Table(four[0], ratio(p4)), Table(*back5), Table(*back4), np.zeros(4), 0.0)
+        return cls(Table(five[0], ratio(p5)), Table(four[0], ratio(p4)), Table(*back5), Table(*back4))
 
     def ratios(self, key: np.ndarray) -> np.ndarray:
         """log P(byte | four before, toxic) - log P(byte | four before, ordinary)."""
@@ -210,14 +221,65 @@ class Model:
             out[rest] = upper + np.where(known, value, lower)
         return out
 
-    def features(self, part: pa.RecordBatch, column: str) -> np.ndarray:
+
+#: Shard numbers spread the three bytes by this factor, modulo 2**32.
+_SPREAD = 2654435761
+
+
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(_SPREAD) & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
+
+
+def _shard_column(gram: str, shards: int) -> F.Column:
+    return (F.shiftrightunsigned(gram, 8).bitwiseAND(0xFFFFFF) * F.lit(_SPREAD)).bitwiseAND(0xFFFFFFFF) % F.lit(shards)
+
+
+@dataclass
+class Model:
+    """Broadcast shards, and the logistic curve."""
+
+    shards: list
+    curve: np.ndarray
+    rate: float
+
+    def ratios(self, key: np.ndarray) -> np.ndarray:
+        if len(self.shards) == 1:
+            return self.shards[0].value.ratios(key)
+        own, out = _shard_of(key, len(self.shards)), np.zeros(len(key), np.float32)
+        for k, shard in enumerate(in_turn(self.shards)):
+            at = np.flatnonzero(own == np.uint64(k))
+            out[at] = shard.ratios(key[at])
+        return out
+
+    def read(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Slices of the batches with the features of their texts."""
+        held, size = [], 0
+
+        def flush() -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+            value = self.ratios(np.concatenate([k for _, k, _ in held])) if held else None
+            at = 0
+            for part, key, offsets in held:
+                yield part, self.features(value[at : at + len(key)], offsets)
+                at += len(key)
+
+        for batch in batches:
+            for part in slices(batch, column):
+                data, offsets = _letters(part, column)
+                held.append((part, _grams(data, offsets) if len(data) else np.zeros(0, np.uint64), offsets))
+                size += len(data)
+                if len(self.shards) == 1 or size >= _TOGETHER:
+                    yield from flush()
+                    held, size = [], 0
+        yield from flush()
+
+    @staticmethod
+    def features(ratios: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text: the largest mean ratio over narrow and over wide windows, and the mean; NaN without words."""
-        data, offsets = _letters(part, column)
         n = np.diff(offsets)
         out = np.full((len(n), 3), np.nan)
-        if not len(data):
+        if not len(ratios):
             return out
-        total = np.concatenate([[0.0], np.cumsum(self.ratios(_grams(data, offsets)), dtype=np.float64)])
+        total = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
         full = n > 0
         whole = total[offsets[1:]] - total[offsets[:-1]]
         out[full, 2] = whole[full] / n[full]
@@ -259,9 +321,19 @@ def _all(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def _broadcast_shards(five: DataFrame, four: DataFrame, shard_grams: int) -> list:
+    """The shards, one after the other through the driver; no n-grams give one empty shard."""
+    context = five.sparkSession.sparkContext
+    shards = max(1, -(-five.count() // shard_grams))
+    low = F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")
+    tri = four.groupBy(low).agg(F.sum(F.col("n0") + F.col("n1")).alias("n"), F.count("*").alias("kinds")).toArrow().sort_by("gram")
+    lower = Lower(*(tri.column(c).to_numpy().view(t) for c, t in (("gram", np.uint64), ("n", np.int64), ("kinds", np.int64)))) if tri.num_rows else None
+    of = lambda df, k: _all(df.where(_shard_column("gram", shards) == k) if shards > 1 else df)
+    return [context.broadcast(Shard.of(of(five, k), of(four, k), lower)) for k in range(shards)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", calibration_rows: int = CALIBRATION_ROWS, shard_grams: int = SHARD_GRAMS) -> Model:
     """Models from all documents with labels of folds 0, 1 (counts) and 3 (curve) of crc32(id) mod 4."""
-    spark = docs.sparkSession
     side = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.max(label_column).cast("int").alias("side"))
     side = side.withColumn("fold", fold("label_id", 4)).where("fold <> 2")
     totals = {(r.fold == 3, r.side): r["count"] for r in side.groupBy("fold", "side").count().collect()}
@@ -271,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     counted = base.join(near(side.where("fold <> 3").drop("fold")), "label_id").select("text", "side")
     five = written(counted.mapInArrow(_gather("text"), "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
     four = written(five.groupBy(F.col("gram").bitwiseAND(0xFFFFFFFF).alias("gram")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), "grams")
-    model = Model.of(_all(five), _all(four))
+    model = Model(_broadcast_shards(five, four, shard_grams), np.zeros(4), 0.0)
     held = side.groupBy("side").agg(F.sum(F.when(F.col("fold") == 3, 1).otherwise(0)).alias("n")).collect()
     n = {r.side: r.n for r in held}
     if not n.get(1) or not n.get(0):
@@ -279,10 +351,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         model.rate = float(labelled)
         model.curve = np.array([0.0, 0.0, 0.0, -30.0 if not labelled else float(np.log(max(labelled, 1e-9) / max(1 - labelled, 1e-9)))])
         return model
-    share = min(1.0, calibration_rows / (n[0] + n[1]))
-    sample = side.where((F.col("fold") == 3) & (F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))).drop("fold")
-    shared = spark.sparkContext.broadcast(model)
-    rows = base.join(F.broadcast(sample), "label_id").select("text", "side").mapInArrow(_features(shared, "text"), "side int, a double, b double, c double").toArrow()
+    sample = side.where((F.col("fold") == 3) & chosen("label_id", calibration_rows, n[0] + n[1])).drop("fold")
+    rows = base.join(F.broadcast(sample), "label_id").select("text", "side").mapInArrow(_features(model, "text"), "side int, a double, b double, c double").toArrow()
     x = np.column_stack([rows.column(c).to_numpy() for c in "abc"])
     y = rows.column("side").to_numpy().astype(float)
     model.rate = float(y.mean()) if len(y) else 0.0
@@ -291,26 +361,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return model
 
 
-def _features(shared, column: str):
+def _features(model: Model, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, column):
-                x = shared.value.features(part, column)
-                yield pa.RecordBatch.from_arrays([part.column("side"), *(pa.array(x[:, k]) for k in range(3))], ["side", "a", "b", "c"])
+        for part, x in model.read(batches, column):
+            yield pa.RecordBatch.from_arrays([part.column("side"), *(pa.array(x[:, k]) for k in range(3))], ["side", "a", "b", "c"])
 
     return run
 
 
-def _score(shared, column: str, keep: list[str], threshold: float, only_clean: bool):
+def _score(model: Model, column: str, keep: list[str], threshold: float, only_clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for part in slices(batch, column):
-                score = model.score(model.features(part, column))
-                if only_clean:
-                    yield part.filter(pa.array(score < threshold)).select(keep)
-                else:
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+        for part, x in model.read(batches, column):
+            score = model.score(x)
+            if only_clean:
+                yield part.filter(pa.array(score < threshold)).select(keep)
+            else:
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
     return run
 
@@ -322,13 +388,11 @@ def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     calibration rows.  Repeated rows get equal results; other columns are not read.
     """
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("doc_id", base.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return base.mapInArrow(_score(shared, "text", ["doc_id"], threshold, False), schema).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    return base.mapInArrow(_score(model, "text", ["doc_id"], threshold, False), schema).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` scored below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    return docs.mapInArrow(_score(shared, text_column, docs.columns, threshold, True), schema)
+    return docs.mapInArrow(_score(model, text_column, docs.columns, threshold, True), schema)
