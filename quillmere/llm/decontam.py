@@ -8,8 +8,10 @@ find fixes where the window would begin (positional bound) and must leave it
 inside the document (length bound).  What remains is compared word by word, and
 the words inside confirmed windows are counted once each.
 
-The benchmark is the stated query set: it is split into blocks of bounded size,
-and only one block's index is broadcast at a time.
+The benchmark is the stated query set: it is split into blocks of bounded size, each
+broadcast as an index of its own.  Documents are read twice, however many blocks there are: once
+to count the benchmark's words, once to be probed; a worker holds one block at a time
+and takes a few megabytes of text through all of them.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import raw_text, slices, written
+from .common import in_turn, raw_text, slices
 
 WINDOW = 13
 #: Text bytes of benchmark items whose index is broadcast at once (the index takes some 20 times that).
 BLOCK_BYTES = 2 << 20
+#: Bytes of text that go through all blocks together, and word codes that are broadcast as one array.
+_TOGETHER, _CODES = 4 << 20, 4_000_000
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -59,9 +63,11 @@ class Index:
         self.vocabulary = sorted({w for x in self.windows for w in x})
         self.codes = _hash(self.vocabulary) if self.vocabulary else np.zeros(0, np.uint64)
 
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's prefix word: the rarest in all documents, ties by the word itself."""
+    def order(self, known: np.ndarray, found: np.ndarray) -> None:
+        """Choose each window's prefix word: the rarest in all documents (codes, ascending, and their counts), ties by the word itself."""
         code = dict(zip(self.vocabulary, self.codes.tolist()))
+        at = np.minimum(np.searchsorted(known, self.codes), max(0, len(known) - 1))
+        counts = dict(zip(self.codes.tolist(), np.where(known[at] == self.codes, found[at], 0).tolist() if len(known) else ()))
         rows, longest = [], max(map(len, self.windows), default=0)
         self.matrix = np.zeros((len(self.windows), longest), np.uint64)
         for n, words in enumerate(self.windows):
@@ -73,12 +79,11 @@ class Index:
         self.offset, self.length, self.number = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
         self.filter = _bitmap(self.prefix)
 
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, data: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, window) of every occurrence."""
         none = np.zeros(0, np.int64)
         if not len(self.prefix) or not len(starts):
             return none, none, none
-        codes = W.hashes(data, starts, ends)
         at = np.flatnonzero(self.filter[(codes & np.uint64(len(self.filter) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.prefix, codes[at], "left"), np.searchsorted(self.prefix, codes[at], "right")
         texts, begins, windows = [], [], []
@@ -107,85 +112,120 @@ def _bitmap(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count(shared, column: str):
-    """Occurrences of the block's words, one row for each word and partition."""
+def _count(shared: list, column: str):
+    """Occurrences of the benchmark's words, one row for each word and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.sort(shared.value)
-        found, likely = np.zeros(len(codes) + 1, np.int64), _bitmap(codes)
+        known = [one.value for one in shared]
+        found, likely = [np.zeros(len(codes) + 1, np.int64) for codes in known], [_bitmap(codes) for codes in known]
         for batch in batches:
             for part in slices(batch, column):
                 data, offsets = raw_text(part.column(column))
                 data = W.LOWER[data]
                 starts, ends, _ = W.spans(data, offsets, W.ALNUM_WORD)
-                h = W.hashes(data, starts, ends)
-                h = h[likely[(h & np.uint64(len(likely) - 1)).astype(np.int64)]]
-                at = np.minimum(np.searchsorted(codes, h), max(0, len(codes) - 1))
-                found += np.bincount(np.where(codes[at] == h, at, len(codes)), minlength=len(codes) + 1) if len(codes) else 0
-        seen = np.flatnonzero(found[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(codes[seen].view(np.int64)), pa.array(found[seen])], ["code", "n"])
+                every = W.hashes(data, starts, ends)
+                for codes, seen, marks in zip(known, found, likely):
+                    h = every[marks[(every & np.uint64(len(marks) - 1)).astype(np.int64)]]
+                    at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+                    seen += np.bincount(np.where(codes[at] == h, at, len(codes)), minlength=len(codes) + 1)
+        for codes, seen in zip(known, found):
+            some = np.flatnonzero(seen[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(codes[some].view(np.int64)), pa.array(seen[some])], ["code", "n"])
 
     return run
 
 
-def _scan(shared, column: str, keep: list[str], what: str):
-    """what: "digest" (contract columns), "parts" (row key, intervals and items) or "clean" (rows that stay)."""
+class _Found:
+    """A slice of documents, and what the blocks find in it."""
+
+    def __init__(self, part: pa.RecordBatch, column: str):
+        self.part = part
+        data, offsets = raw_text(part.column(column))
+        self.data = W.LOWER[data]
+        self.starts, self.ends, self.first = W.spans(self.data, offsets, W.ALNUM_WORD)
+        self.codes = W.hashes(self.data, self.starts, self.ends)
+        self.edges = np.zeros(len(self.starts) + 1, np.int64)
+        self.items: dict[int, set[str]] = {}
+
+    def probe(self, index: Index) -> None:
+        text, begin, number = index.find(self.data, self.codes, self.starts, self.ends, self.first)
+        size = np.array([len(index.windows[n]) for n in number.tolist()], np.int64)
+        np.add.at(self.edges, begin, 1)
+        np.add.at(self.edges, begin + size, -1)
+        for t, n in set(zip(text.tolist(), number.tolist())):
+            self.items.setdefault(t, set()).update(index.items[n])
+
+    def result(self, keep: list[str], only_clean: bool) -> pa.RecordBatch:
+        n_words = np.diff(self.first)
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(self.edges[:-1]) > 0)])
+        n_hit = hit[self.first[1:]] - hit[self.first[:-1]]
+        bad = (n_hit > 0) & (20 * n_hit >= n_words)
+        if only_clean:
+            return self.part.filter(pa.array(~bad)).select(keep)
+        own = [sorted(self.items.get(i, ())) for i in range(len(n_words))]
+        new = [n_words, n_hit, [len(x) for x in own], [hashlib.sha256(",".join(x).encode()).hexdigest() if x else _NOTHING for x in own], bad]
+        return pa.RecordBatch.from_arrays([*(self.part.column(c) for c in keep), *map(pa.array, new)], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
+def _scan(shared: list, column: str, keep: list[str], only_clean: bool):
+    """The contract's columns, or the clean rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                for index in in_turn(shared):
+                    for one in held:
+                        one.probe(index)
+            for one in held:
+                yield one.result(keep, only_clean)
+
         for batch in batches:
             for part in slices(batch, column):
-                data, offsets = raw_text(part.column(column))
-                data = W.LOWER[data]
-                starts, ends, first = W.spans(data, offsets, W.ALNUM_WORD)
-                text, begin, number = index.find(data, starts, ends, first)
-                n_words = np.diff(first)
-                edges = np.zeros(len(starts) + 1, np.int64)
-                size = np.array([len(index.windows[n]) for n in number.tolist()], np.int64)
-                np.add.at(edges, begin, 1)
-                np.add.at(edges, begin + size, -1)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
-                n_hit = hit[first[1:]] - hit[first[:-1]]
-                items: dict[int, set[str]] = {}
-                for t, n in set(zip(text.tolist(), number.tolist())):
-                    items.setdefault(t, set()).update(index.items[n])
-                if what == "clean":
-                    bad = (n_hit > 0) & (20 * n_hit >= n_words)
-                    yield part.filter(pa.array(~bad)).select(keep)
-                elif what == "digest":
-                    new = [n_words, n_hit, [len(items.get(i, ())) for i in range(len(n_words))], [hashlib.sha256(",".join(sorted(items[i])).encode()).hexdigest() if i in items else _NOTHING for i in range(len(n_words))], (n_hit > 0) & (20 * n_hit >= n_words)]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *map(pa.array, new)], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-                else:
-                    spans: dict[int, list[dict[str, int]]] = {}
-                    for t, b, s in zip(text.tolist(), begin.tolist(), size.tolist()):
-                        spans.setdefault(t, []).append({"b": int(b - first[t]), "e": int(b - first[t] + s)})
-                    rows = pa.array(sorted(spans), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [*(part.column(c).take(rows) for c in keep), pa.array([spans[t] for t in sorted(spans)], pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))), pa.array([sorted(items[t]) for t in sorted(spans)], pa.list_(pa.string()))],
-                        [*keep, "spans", "items"],
-                    )
+                held.append(_Found(part, column))
+                size += len(held[-1].data)
+                if len(shared) == 1 or size >= _TOGETHER:
+                    yield from flush()
+                    held, size = [], 0
+        yield from flush()
 
     return run
 
 
-def _items(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """Items as (item, body), and the number of blocks.  Items without an id or a text are skipped."""
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).cast("string").alias("body")).where("item is not null and body is not null")
-    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    return items, max(1, math.ceil(total / block_bytes))
-
+def _blocks(items: DataFrame, block_bytes: int, window: int) -> Iterator[Index]:
+    """Indexes of blocks of items in turn, from one reading of the table; one empty index where there are none."""
+    held, size, any_yet = [], 0, False
+    for r in items.toLocalIterator():
+        if held and size + len(r.body) > block_bytes:
+            yield Index(held, window)
+            held, size, any_yet = [], 0, True
+        held.append((r.item, r.body))
+        size += len(r.body)
+    if held or not any_yet:
+        yield Index(held, window)
 
-def _block(items: DataFrame, k: int, n: int, window: int) -> Index:
-    return Index([(r.item, r.body) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).toLocalIterator()], window)
 
+def _indexes(docs: DataFrame, column: str, benchmark: DataFrame, item_column: str, item_text: str, window: int, block_bytes: int) -> list:
+    """Broadcast indexes of all blocks, prefixes ordered by rarity over all documents.  Items without an id or a text are skipped.
 
-def _ordered(index: Index, docs: DataFrame, column: str):
-    """The index with prefixes by rarity over all documents, broadcast: at most one block."""
+    The driver holds one block, and the codes and counts of the benchmark's words (16 bytes each).
+    """
     context = docs.sparkSession.sparkContext
-    codes = context.broadcast(index.codes)
-    counts = docs.select(column).mapInArrow(_count(codes, column), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    index.order({r.code % 2**64: r.n for r in counts.toLocalIterator()})
-    return context.broadcast(index)
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).cast("string").alias("body")).where("item is not null and body is not null")
+    codes = np.zeros(0, np.uint64)
+    for index in _blocks(items, block_bytes, window):
+        codes = np.union1d(codes, index.codes)
+    pieces = [context.broadcast(codes[k : k + _CODES]) for k in range(0, len(codes), _CODES)]
+    found = np.zeros(len(codes), np.int64)
+    if pieces:
+        counts = docs.select(column).mapInArrow(_count(pieces, column), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        found[np.searchsorted(codes, counts.column("code").to_numpy().view(np.uint64))] = counts.column("n").to_numpy()
+    out = []
+    for index in _blocks(items, block_bytes, window):
+        index.order(codes, found)
+        out.append(context.broadcast(index))
+    return out
 
 
 _DIGEST = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
@@ -200,48 +240,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     Null texts and texts without words have n_words = 0 and are clean.  Benchmark
     items without id, text or words give no window; repeated items count once.
-    Repeated documents are judged row by row (in several blocks, rows of equal id
-    and text are one row of the join and come back as often as they came in).
+    Repeated documents are judged row by row, however many blocks there are.
     Other columns are not read.
     """
-    return _judged(docs, benchmark, id_column, text_column, item_column, item_text, window, block_bytes).drop("row_key")
-
-
-def _judged(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
-    """The columns of ``contamination``; of several blocks also row_key, the hash of the text."""
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    first = None
-    parts: list[DataFrame] = []
-    items, n = _items(benchmark, item_column, item_text, block_bytes)
-    for k in range(n):
-        shared = _ordered(_block(items, k, n, window), base, "text")
-        if n == 1:
-            return base.mapInArrow(_scan(shared, "text", ["doc_id"], "digest"), _schema([base.schema["doc_id"]], _DIGEST))
-        keyed = base.withColumn("row_key", F.sha2("text", 256))
-        kind = T.ArrayType(T.StructType([T.StructField("b", T.LongType()), T.StructField("e", T.LongType())]))
-        parts.append(written(keyed.mapInArrow(_scan(shared, "text", ["doc_id", "row_key"], "parts"), _schema([keyed.schema["doc_id"], keyed.schema["row_key"]], [("spans", kind), ("items", T.ArrayType(T.StringType()))])), "hits"))
-        if first is None:
-            empty = Index([], window)
-            empty.order({})
-            none = docs.sparkSession.sparkContext.broadcast(empty)
-            first = keyed.mapInArrow(_scan(none, "text", ["doc_id", "row_key"], "digest"), _schema([keyed.schema["doc_id"], keyed.schema["row_key"]], _DIGEST)).select("doc_id", "row_key", "n_words")
-    hits = parts[0]
-    for x in parts[1:]:
-        hits = hits.unionByName(x)
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    merged = F.aggregate(
-        F.sort_array(F.flatten(F.collect_list("spans"))), start,
-        lambda a, x: F.struct((a.n + F.greatest(F.lit(0).cast("long"), x.e - F.greatest(x.b, a.to))).alias("n"), F.greatest(a.to, x.e).alias("to")),
-        lambda a: a.n,
-    )
-    names = F.sort_array(F.array_distinct(F.flatten(F.collect_list("items"))))
-    hits = hits.groupBy("doc_id", "row_key").agg(merged.alias("n_hit"), names.alias("names"))
-    full = first.join(hits.withColumnsRenamed({"doc_id": "d", "row_key": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return full.select(
-        "doc_id", "row_key", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("names").cast("long"), F.lit(0).cast("long")).alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (F.lit(20) * n_hit >= F.col("n_words"))).alias("contaminated"),
-    )
+    shared = _indexes(base, "text", benchmark, item_column, item_text, window, block_bytes)
+    return base.mapInArrow(_scan(shared, "text", ["doc_id"], False), _schema([base.schema["doc_id"]], _DIGEST))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -249,10 +253,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     Each row is judged by its own text, whatever rows share its id and however many blocks there are.
     """
-    items, n = _items(benchmark, item_column, item_text, block_bytes)
-    if n == 1:
-        shared = _ordered(_block(items, 0, 1, window), docs, text_column)
-        return docs.mapInArrow(_scan(shared, text_column, docs.columns, "clean"), _schema(docs.schema.fields, []))
-    judged = _judged(docs, benchmark, id_column, text_column, item_column, item_text, window, block_bytes)
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs[id_column].eqNullSafe(F.col("_bad_id")) & (F.sha2(docs[text_column].cast("string"), 256) == F.col("_bad_key")), "left_anti")
+    shared = _indexes(docs, text_column, benchmark, item_column, item_text, window, block_bytes)
+    return docs.mapInArrow(_scan(shared, text_column, docs.columns, True), _schema(docs.schema.fields, []))
