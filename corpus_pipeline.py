@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import secrets
-from quillmere.llm.common import BROADCAST_ROWS, arrow_batches, written
+from quillmere.llm.common import arrow_batches, fresh, written
 from quillmere.llm.decontam import decontaminate
-from quillmere.llm.neardup import near_duplicates
+from quillmere.llm.neardup import one_of_each
 from quillmere.llm.queries import tokenizer_path
 from quillmere.llm.tokens import pack
 from quillmere.llm.toxicity import fit as fit_toxicity
@@ -32,17 +32,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    A row that repeats an id and a text of a kept row is dropped too; rows without an id
-    stay unless they copy a document.
+    A row that repeats an id and a text of a kept row is dropped too; rows of one id with
+    different texts are judged apart; rows without an id stay unless they copy a document.
     """
     arrow_batches(spark)
-    verdict = written(near_duplicates(docs), "verdict")
-    drop = written(verdict.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("drop_id")).distinct(), "drop")
-    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, F.col("doc_id") == F.col("drop_id"), "left_anti")
-    again = written(verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "again")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(kept.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +47,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars counted anew where the text changed."""
-    clean = secrets.redact(docs, secrets.fit(secrets.default_samples(spark)), before="_before")
-    return clean.withColumn("n_chars", F.when(F.col("_before").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop("_before")
+    before = fresh(docs, "before")[0]
+    clean = secrets.redact(docs, secrets.fit(secrets.default_samples(spark)), before=before)
+    return clean.withColumn("n_chars", F.when(F.col(before).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop(before)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
