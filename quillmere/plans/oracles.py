@@ -63,7 +63,22 @@ _RING = (
 )
 _SAMPLED = f"{_RING}, spot AS (SELECT id, unnest(range(16)) AS place FROM e), w AS (SELECT spot.id, spot.place, c.px + (c.total * spot.place / 16.0 - c.lo) / c.len * (c.qx - c.px) AS x, c.py + (c.total * spot.place / 16.0 - c.lo) / c.len * (c.qy - c.py) AS y, row_number() OVER (PARTITION BY spot.id, spot.place ORDER BY c.k DESC) AS last FROM spot JOIN cum c ON c.id = spot.id AND c.len > 0 AND c.lo <= c.total * spot.place / 16.0)"
 
+_EDGES = "pe AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(max(w) AS DOUBLE) AS weight FROM (SELECT CAST(p_partkey % 41 AS BIGINT) AS a, CAST(p_size % 37 AS BIGINT) AS b, p_partkey % 8 AS w FROM part) WHERE a <> b GROUP BY 1, 2 HAVING max(w) <> 0)"
+_NEAREST_WAYS = f"{_PAIRS}, n AS (SELECT least(id, nb) AS a, greatest(id, nb) AS b, min(sqrt(d2)) AS w FROM r WHERE rank <= 10 GROUP BY 1, 2), s AS (SELECT a, b, w FROM n WHERE w > 0 UNION ALL SELECT b, a, w FROM n WHERE w > 0)"
+
 ORACLES = {
+    "graph_costs": f"WITH RECURSIVE {_NEAREST_WAYS}, c(id, cost) USING KEY (id) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE) UNION SELECT s.b, min(c.cost + s.w) FROM c JOIN s ON s.a = c.id LEFT JOIN recurring.c AS o ON o.id = s.b GROUP BY s.b, o.cost HAVING o.cost IS NULL OR min(c.cost + s.w) < o.cost) "
+    f"SELECT e.id, {_fixed('c.cost', 8)} AS cost FROM e LEFT JOIN c ON c.id = e.id",
+    "onnx_softmax": "WITH l AS (SELECT p_partkey, exp(2.5 - 0.125 * p_size) AS a, exp(0.25) AS b, exp(0.125 * p_size - 3.75) AS c FROM part), q AS (SELECT p_partkey, a / (a + b + c) AS x, b / (a + b + c) AS y, c / (a + b + c) AS z FROM l) "
+    f"SELECT p_partkey, CASE WHEN x >= y AND x >= z THEN 'small' WHEN y >= z THEN 'medium' ELSE 'large' END AS label, {_fixed('greatest(x, y, z)', 4)} AS confidence, {_fixed('x', 4)} AS p0, {_fixed('y', 4)} AS p1, {_fixed('z', 4)} AS p2 FROM q",
+    "onnx_sigmoid_pair": "WITH q AS (SELECT p_partkey, 1 / (1 + exp(-(1.5 * (p_size - 24.0) / 8.0 + 0.25))) AS s FROM part) "
+    f"SELECT p_partkey, CASE WHEN 1 - s >= s THEN 'no' ELSE 'yes' END AS label, {_fixed('greatest(s, 1 - s)', 4)} AS confidence, {_fixed('1 - s', 4)} AS p0, {_fixed('s', 4)} AS p1 FROM q",
+    "onnx_relu_rescale": "SELECT p_partkey, CAST(100.0 + 0.25 * greatest(p_size - 0.5 * (p_partkey % 64) - 8.0, 0.0) AS DOUBLE) AS value FROM part",
+    "pca_counts": f"WITH {_TWO}, t AS (SELECT CAST(unnest([0.5, 0.9, 0.999, 0.99999, 1.0]) AS DOUBLE) AS threshold) SELECT threshold, CAST(CASE WHEN l1 <= 1e-10 * (l0 + l1) OR (threshold < 1 AND l0 / (l0 + l1) >= threshold) THEN 1 ELSE 2 END AS INTEGER) AS components FROM t, q",
+    "pca_restored": f"WITH {_TWO}, z AS (SELECT p_partkey AS id, ((p_size - mu) * u0 + (p_retailprice - mv) * v0) / (u0 * u0 + v0 * v0) AS z, mu, mv, u0, v0 FROM part, q) SELECT id, {_fixed('mu + z * u0', 5)} AS x0, {_fixed('mv + z * v0', 5)} AS x1 FROM z",
+    "graph_from_edges": f"WITH {_EDGES} SELECT * FROM pe",
+    "graph_reweighted": f"WITH {_EDGES} SELECT a, b, {_fixed('1.0 / (a + b + weight)', 8)} AS weight FROM pe",
+    "outline_variants": f"WITH {_RING} SELECT id AS outline_id, {_fixed('sum(len)', 7)} AS length FROM seg GROUP BY id",
     "prep_params": "WITH v AS (SELECT unnest([0, 1, 2, 3]) AS pos, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem) "
     f"SELECT CAST(pos AS INTEGER) AS pos, {_fixed('avg(x)', 4)} AS centre, {_fixed('stddev_pop(x)', 4)} AS scale, stddev_pop(x) > 1e-12 * greatest(1.0, abs(avg(x))) AS kept FROM v GROUP BY pos",
     "prep_transform": _standard(_LINE),

@@ -322,6 +322,70 @@ def onnx_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(t, model, ["size"]).select("p_partkey", "label", "label_index")
 
 
+def _classified(spark: SparkSession, sf_dir: str, graph: OnnxGraph, classes: tuple[str, ...]) -> DataFrame:
+    """Parts by size: label, confidence and probabilities (four digits) of a classifier of one feature."""
+    model = OnnxModel(graph.to_bytes(ModelMetadata("classification", ("size",), "class", classes)))
+    t = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
+    p = [_fixed(F.get("probabilities", F.lit(i)), 4).alias(f"p{i}") for i in range(len(classes))]
+    return score(t, model, ["size"]).select("p_partkey", "label", _fixed("confidence", 4).alias("confidence"), *p)
+
+
+def onnx_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and confidence of a three-class softmax."""
+    g = OnnxGraph(1)
+    g.classification_outputs(g.softmax(g.dense(g.input, np.array([[-0.125, 0.0, 0.125]]), [2.5, 0.25, -3.75])), 3)
+    return _classified(spark, sf_dir, g, ("small", "medium", "large"))
+
+
+def onnx_sigmoid_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised size, one logit, two classes."""
+    g = OnnxGraph(1)
+    g.classification_outputs(g.sigmoid_pair(g.dense(g.standardise(g.input, [24.0], [8.0]), np.array([[1.5]]), [0.25])), 2)
+    return _classified(spark, sf_dir, g, ("no", "yes"))
+
+
+def onnx_relu_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectified linear value, brought to another scale."""
+    g = OnnxGraph(2)
+    g.value_output(g.rescale(g.relu(g.dense(g.input, np.array([[1.0], [-0.5]]), [-8.0])), 100.0, 0.25))
+    t = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 64).cast("double").alias("b"))
+    return score(t, _regression(g, ("a", "b")), ["a", "b"]).select("p_partkey", "value")
+
+
+def pca_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components that each threshold keeps."""
+    frame = _two_columns(spark, sf_dir)
+    rows = [(t, PrincipalComponents.fit(frame, t).count) for t in (0.5, 0.9, 0.999, 0.99999, 1.0)]
+    return spark.createDataFrame(rows, "threshold double, components int")
+
+
+def pca_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one component of two restores: points of the first axis."""
+    frame = _two_columns(spark, sf_dir)
+    p = PrincipalComponents.fit_count(frame, 1)
+    return p.inverse_transform(p.transform(frame)).select("id", *(_fixed(F.get("x", F.lit(i)), 5).alias(f"x{i}") for i in range(2)))
+
+
+def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with repeats in both directions, loops and zero weights."""
+    return graphs.from_edges(_table(spark, sf_dir, "part").select((F.col("p_partkey") % 41).alias("a"), (F.col("p_size") % 37).alias("b"), (F.col("p_partkey") % 8).alias("weight")))
+
+
+def graph_from_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_edges(spark, sf_dir)
+
+
+def graph_reweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.reweight(_part_edges(spark, sf_dir), F.lit(1.0) / (F.col("a") + F.col("b") + F.col("weight"))).select("a", "b", _fixed("weight", 8).alias("weight"))
+
+
+def outline_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of each outline read backward and mirrored: that of the outline."""
+    ring = F.reverse("points")
+    mirrored = _outlines(spark, sf_dir).select("outline_id", F.transform(ring, lambda p: F.array(F.get(p, F.lit(0)), -F.get(p, F.lit(1)))).alias("points"))
+    return shapes.outline_lengths(mirrored).select("outline_id", _fixed("length", 7).alias("length"))
+
+
 def frame_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     e: Extent = measure(_embeddings(spark, sf_dir), 2)
     return spark.createDataFrame([(e.rows, e.width)], "n_rows long, width long")
@@ -335,5 +399,6 @@ QUERIES = {
         covariance, pca_2col, pca_2col_whiten, pca_variances, pca_roundtrip, pca_total_variance, pca_axes,
         mds_double_centre, mds_table_map, mds_stress, mds_one_step, mds_map, spectral_axis0, spectral_constant, spectral_map,
         embed_auto, embed_pca, embed_spectral, outline_length, outline_resample, outline_size, shape_scores, onnx_linear, onnx_tree, onnx_argmax,
+        onnx_softmax, onnx_sigmoid_pair, onnx_relu_rescale, pca_counts, pca_restored, graph_from_edges, graph_reweighted, outline_variants,
     )
 }
