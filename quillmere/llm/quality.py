@@ -28,6 +28,8 @@ FILTERS, TAPS, EMBED = 16, 6, 8
 #: Labelled rows that the network is trained on, at most about this many, none of more than so many bytes.
 TRAIN_ROWS, TRAIN_BYTES = 3_000, 32_768
 EPOCHS, BATCH, RATE = 7, 32, 0.01
+#: Steps that a small sample is trained for at least, over more epochs.
+LEAST_STEPS = 400
 THRESHOLD = 0.7
 #: Chunks that are convolved at once.
 _BLOCK = 16
@@ -96,6 +98,7 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int
     weights = [net.embed, net.filters, net.bias, net.dense]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(labels) // BATCH))))
     for epoch in range(epochs):
         order = r.permutation(len(labels))
         for i in range(0, len(order), BATCH):
