@@ -27,6 +27,8 @@ EIGEN_TOLERANCE, NEGLIGIBLE, HEADROOM = 1e-10, 1e-6, 4
 LOCAL_ROWS = 2_000
 #: Samples of one side of a tile of pairs, worked out from features and stored.
 TILE, STORED_TILE = 512, 1024
+#: Rows of a tile that one numpy pass works on: its arrays stay in a core's cache.
+STRIP = 64
 #: Samples of a distance table: their ids are kept on the driver.
 MOST_SAMPLES = 4_000_000
 #: Share of the largest samples' size below which a squared distance is measured exactly.
@@ -199,7 +201,7 @@ class DistanceTable:
             total = np.zeros((n, width))
             for batch in batches:
                 for a, b, d in _tiles(batch, n, tile):
-                    _add(total, kernel, a, b, d)
+                    _add(total, kernel, a, b, lambda _, place, d=d: d[place])
             yield from _blocks(total)
 
         return _gathered(self.tiles.mapInArrow(run, _SUMS), n, width)
@@ -249,11 +251,15 @@ def _tiles(batch: pa.RecordBatch, n: int, tile: int) -> Iterator[tuple[np.ndarra
         yield i, j, np.frombuffer(cells.as_buffer()).reshape(len(i), len(j))
 
 
-def _add(total: np.ndarray, kernel: Kernel, a: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> None:
-    own, other = kernel(a, b, wanted)
-    total[a[0] : a[-1] + 1] += own
-    if a[0] != b[0]:
-        total[b[0] : b[-1] + 1] += other
+def _add(total: np.ndarray, kernel: Kernel, a: np.ndarray, b: np.ndarray, wanted: Callable[[np.ndarray, slice], np.ndarray]) -> None:
+    """Add the sums of one tile, strip by strip; ``wanted`` gives the distances of a strip, by its samples and its place."""
+    for s in range(0, len(a), STRIP):
+        place = slice(s, min(s + STRIP, len(a)))
+        strip = a[place]
+        own, other = kernel(strip, b, wanted(strip, place))
+        total[strip[0] : strip[-1] + 1] += own
+        if a[0] != b[0]:
+            total[b[0] : b[-1] + 1] += other
 
 
 def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -307,7 +313,7 @@ class Targets:
         if self.local:
             for k, a in enumerate(edges):
                 for b in edges[k:]:
-                    _add(total, kernel, a, b, self.matrix[a[0] : a[-1] + 1, b[0] : b[-1] + 1])
+                    _add(total, kernel, a, b, lambda strip, _, b=b: self.matrix[strip[0] : strip[-1] + 1, b[0] : b[-1] + 1])
             return total
         if self.table is not None:
             return self.table.over_pairs(kernel, width)
@@ -321,7 +327,7 @@ class Targets:
                     a = np.arange(k * TILE, min((k + 1) * TILE, n))
                     for at in range(k * TILE, n, TILE):
                         b = np.arange(at, min(at + TILE, n))
-                        _add(total, kernel, a, b, wanted(a, b))
+                        _add(total, kernel, a, b, lambda strip, _, b=b: wanted(strip, b))
             yield from _blocks(total)
 
         # rows of tiles shorten with their number: every task gets long and short ones
@@ -334,43 +340,55 @@ def misfit(x: np.ndarray) -> Kernel:
 
     def kernel(a: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u, v = x[a], x[b]
-        distance = np.zeros(wanted.shape)
-        for c in range(x.shape[1]):
-            d = u[:, c][:, None] - v[None, :, c]
+        distance = np.subtract.outer(u[:, 0], v[:, 0])
+        distance *= distance
+        for c in range(1, x.shape[1]):
+            d = np.subtract.outer(u[:, c], v[:, c])
             d *= d
             distance += d
         np.sqrt(distance, out=distance)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = wanted / distance
-        if len(same := np.flatnonzero(distance == 0)):
-            ratio.ravel()[same] = 0
+        if not distance.min():
+            ratio[distance == 0] = 0
         gap = np.subtract(wanted, distance, out=distance)
-        pull = ratio.sum(axis=1)[:, None] * u - ratio @ v, ratio.sum(axis=0)[:, None] * v - ratio.T @ u
-        sums = lambda m, way: np.einsum(f"ij,ij->{way}", m, m)
-        return tuple(np.column_stack([sums(gap, way), sums(wanted, way), p]) for way, p in zip("ij", pull))
+        # sums and pulls of both sides are products with (1, place)
+        ahead, back = ratio @ np.column_stack([np.ones(len(b)), v]), ratio.T @ np.column_stack([np.ones(len(a)), u])
+        pull = ahead[:, :1] * u - ahead[:, 1:], back[:, :1] * v - back[:, 1:]
+        np.multiply(gap, gap, out=gap)
+        size = np.multiply(wanted, wanted, out=ratio)
+        return tuple(np.column_stack([gap.sum(axis=way), size.sum(axis=way), p]) for way, p in zip((1, 0), pull))
 
     return kernel
 
 
-def stress_of(targets: Targets, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """Kruskal's stress-1 and the same ratio over each sample's own pairs."""
-    out = targets.over_pairs(misfit(x), 2 + x.shape[1])
+def _stress(out: np.ndarray) -> tuple[float, np.ndarray]:
+    """Stress and distortions from the sums of ``misfit``."""
     scale = out[:, 1].sum()
     own = np.sqrt(np.divide(out[:, 0], out[:, 1], out=np.zeros(len(out)), where=out[:, 1] > 0))
     return (math.sqrt(out[:, 0].sum() / scale) if scale > 0 else 0.0), own
 
 
-def majorise(targets: Targets, x: np.ndarray, options: ScalingOptions) -> tuple[np.ndarray, int, bool]:
-    """Stress majorisation from x: (map, steps, converged).  Each step yields the misfit of x and the next map at once."""
+def stress_of(targets: Targets, x: np.ndarray) -> tuple[float, np.ndarray]:
+    """Kruskal's stress-1 and the same ratio over each sample's own pairs."""
+    return _stress(targets.over_pairs(misfit(x), 2 + x.shape[1]))
+
+
+def majorise(targets: Targets, x: np.ndarray, options: ScalingOptions, sums: np.ndarray | None = None) -> tuple[np.ndarray, int, bool, np.ndarray]:
+    """Stress majorisation from x: (map, steps, converged, misfit sums of the map).
+
+    One pass over the pairs yields the misfit of x and the next map at once; ``sums`` are those of x where they are known.
+    """
     before = math.inf
     for step in range(options.maximum_iterations + 1):
-        out = targets.over_pairs(misfit(x), 2 + x.shape[1])
-        now = out[:, 0].sum() / 2
+        if step or sums is None:
+            sums = targets.over_pairs(misfit(x), 2 + x.shape[1])
+        now = sums[:, 0].sum() / 2
         if step and before - now <= options.tolerance * before:
-            return x, step, True
+            return x, step, True, sums
         if step == options.maximum_iterations:
-            return x, step, False
-        before, x = now, out[:, 2:] / len(x)
+            return x, step, False, sums
+        before, x = now, sums[:, 2:] / len(x)
     raise AssertionError
 
 
@@ -380,11 +398,12 @@ def _finish(targets: Targets, ids: np.ndarray, x: np.ndarray, kept: np.ndarray,
         if axis >= len(kept) or kept[axis] <= NEGLIGIBLE * max(kept[0], 0) or kept[axis] <= 0:
             x[:, axis] = 0
             notes.append(Note.remark(f"Axis {axis + 1} of {k} carries no structure and is left at zero."))
-    classical, own = stress_of(targets, x)
+    sums = targets.over_pairs(misfit(x), 2 + k)
+    classical, own = _stress(sums)
     stress, steps, converged = classical, 0, True
     if options.refine and classical > 0:
-        x, steps, converged = majorise(targets, x, options)
-        stress, own = stress_of(targets, x)
+        x, steps, converged, sums = majorise(targets, x, options, sums)
+        stress, own = _stress(sums)
         if not converged:
             notes.append(Note.remark(f"Refinement stopped at its cap of {options.maximum_iterations} steps."))
     return ScalingResult(ids, x, kept, retained, negative, classical, stress, own, steps, converged, tuple(notes), axes, centre)
