@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -156,14 +158,52 @@ def inside_polygon(px: Column, py: Column, polygon: list[tuple[float, float]]) -
     return odd
 
 
-def crosses_polygon(ax: Column, ay: Column, bx: Column, by: Column, polygon: list[tuple[float, float]]) -> Column:
-    """Whether a segment properly crosses an edge of a polygon (touching does not count), as one expression."""
-    hit = F.lit(False)
-    for (x1, y1), (x2, y2) in zip(polygon, polygon[1:] + polygon[:1]):
-        side = lambda px, py, x1=x1, y1=y1, x2=x2, y2=y2: F.lit(x2 - x1) * (py - F.lit(y1)) - F.lit(y2 - y1) * (px - F.lit(x1))
-        turn = lambda qx, qy: (bx - ax) * (F.lit(qy) - ay) - (by - ay) * (F.lit(qx) - ax)
-        hit = hit | ((side(ax, ay) * side(bx, by) < 0) & (turn(x1, y1) * turn(x2, y2) < 0))
-    return hit
+class Obstacles:
+    """Polygons in the plane that points may lie in and segments may be blocked by, as column expressions.
+
+    What lies no deeper than the tolerance inside a polygon only touches it.
+    """
+
+    def __init__(self, polygons: list[list[tuple[float, float]]], tolerance: float = 0.0):
+        if not tolerance >= 0:
+            raise ValueError("the tolerance must not be negative")
+        self.polygons, self.tolerance = [], tolerance
+        for polygon in polygons:
+            corners = [(float(x), float(y)) for x, y in polygon]
+            corners = [c for c, before in zip(corners, corners[-1:] + corners[:-1]) if c != before]
+            if len(corners) < 3 or not all(math.isfinite(v) for c in corners for v in c):
+                raise ValueError("a polygon needs at least three finite corners")
+            self.polygons.append(corners)
+
+    def _deep(self, px: Column, py: Column, polygon: list[tuple[float, float]]) -> Column:
+        """Inside, and farther than the tolerance from every edge."""
+        deep = inside_polygon(px, py, polygon)
+        for (x1, y1), (x2, y2) in zip(polygon, polygon[1:] + polygon[:1]):
+            dx, dy = x2 - x1, y2 - y1
+            along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy)))
+            away = [px - (F.lit(x1) + along * dx), py - (F.lit(y1) + along * dy)]
+            deep = deep & (away[0] * away[0] + away[1] * away[1] > self.tolerance**2)
+        return deep
+
+    def contains(self, px: Column, py: Column) -> Column:
+        """Whether a point lies inside any polygon."""
+        return reduce(or_, (self._deep(px, py, polygon) for polygon in self.polygons), F.lit(False))
+
+    def blocks(self, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        """Whether a segment passes through the inside of any polygon.
+
+        The lines of a polygon's edges cut the segment into pieces that lie wholly inside or outside: their middles tell.
+        """
+        return reduce(or_, (self._passes(ax, ay, bx, by, polygon) for polygon in self.polygons), F.lit(False))
+
+    def _passes(self, ax: Column, ay: Column, bx: Column, by: Column, polygon: list[tuple[float, float]]) -> Column:
+        cuts = [F.lit(0.0), F.lit(1.0)]
+        for (x1, y1), (x2, y2) in zip(polygon, polygon[1:] + polygon[:1]):
+            begin, end = ((py - y1) * (x2 - x1) - (px - x1) * (y2 - y1) for px, py in ((ax, ay), (bx, by)))
+            cuts.append(F.when(begin * end < 0, begin / (begin - end)))
+        at = F.array_sort(F.array_compact(F.array(*cuts)))
+        middles = F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: (F.get(at, k - 1) + F.get(at, k)) / 2)
+        return F.exists(middles, lambda m: self._deep(ax + m * (bx - ax), ay + m * (by - ay), polygon))
 
 
 def _roots(degree: np.ndarray) -> np.ndarray:

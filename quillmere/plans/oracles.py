@@ -78,6 +78,8 @@ ORACLES = {
     "pca_restored": f"WITH {_TWO}, z AS (SELECT p_partkey AS id, ((p_size - mu) * u0 + (p_retailprice - mv) * v0) / (u0 * u0 + v0 * v0) AS z, mu, mv, u0, v0 FROM part, q) SELECT id, {_fixed('mu + z * u0', 5)} AS x0, {_fixed('mv + z * v0', 5)} AS x1 FROM z",
     "graph_from_edges": f"WITH {_EDGES} SELECT * FROM pe",
     "graph_reweighted": f"WITH {_EDGES} SELECT a, b, {_fixed('1.0 / (a + b + weight)', 8)} AS weight FROM pe",
+    "obstacle_blocks": "WITH t AS (SELECT p_partkey, p_size AS x, p_partkey % 41 AS y FROM part) "
+    "SELECT p_partkey, (x > 3.5 AND x < 5.5 AND y < 6.5) OR (x > 10 AND y > 0 AND x + y < 30) AS inside, (x > 3.5 AND y < 6.5) OR (x > 10 AND y > 0 AND y < 20) AS blocked FROM t",
     "outline_variants": f"WITH {_RING} SELECT id AS outline_id, {_fixed('sum(len)', 7)} AS length FROM seg GROUP BY id",
     "prep_params": "WITH v AS (SELECT unnest([0, 1, 2, 3]) AS pos, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem) "
     f"SELECT CAST(pos AS INTEGER) AS pos, {_fixed('avg(x)', 4)} AS centre, {_fixed('stddev_pop(x)', 4)} AS scale, stddev_pop(x) > 1e-12 * greatest(1.0, abs(avg(x))) AS kept FROM v GROUP BY pos",

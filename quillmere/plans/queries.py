@@ -379,6 +379,13 @@ def graph_reweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.reweight(_part_edges(spark, sf_dir), F.lit(1.0) / (F.col("a") + F.col("b") + F.col("weight"))).select("a", "b", _fixed("weight", 8).alias("weight"))
 
 
+def obstacle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as points among a wall and a triangle: whether they lie inside, and whether the level way from the left is blocked."""
+    both = graphs.Obstacles([[(3.5, -1.0), (5.5, -1.0), (5.5, 6.5), (3.5, 6.5)], [(10.0, 0.0), (30.0, 0.0), (10.0, 20.0)]], 1e-9)
+    x, y = F.col("p_size").cast("double"), (F.col("p_partkey") % 41).cast("double")
+    return _table(spark, sf_dir, "part").select("p_partkey", both.contains(x, y).alias("inside"), both.blocks(F.lit(0.0), y, x, y).alias("blocked"))
+
+
 def outline_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of each outline read backward and mirrored: that of the outline."""
     ring = F.reverse("points")
@@ -399,6 +406,6 @@ QUERIES = {
         covariance, pca_2col, pca_2col_whiten, pca_variances, pca_roundtrip, pca_total_variance, pca_axes,
         mds_double_centre, mds_table_map, mds_stress, mds_one_step, mds_map, spectral_axis0, spectral_constant, spectral_map,
         embed_auto, embed_pca, embed_spectral, outline_length, outline_resample, outline_size, shape_scores, onnx_linear, onnx_tree, onnx_argmax,
-        onnx_softmax, onnx_sigmoid_pair, onnx_relu_rescale, pca_counts, pca_restored, graph_from_edges, graph_reweighted, outline_variants,
+        onnx_softmax, onnx_sigmoid_pair, onnx_relu_rescale, pca_counts, pca_restored, graph_from_edges, graph_reweighted, obstacle_blocks, outline_variants,
     )
 }

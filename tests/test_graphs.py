@@ -96,8 +96,38 @@ def test_polygons(spark):
     square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
     rows = spark.createDataFrame([(1.0, 1.0), (3.0, 1.0)], "x double, y double")
     assert [r.i for r in rows.orderBy("x").select(graphs.inside_polygon(F.col("x"), F.col("y"), square).alias("i")).collect()] == [True, False]
-    s = spark.createDataFrame([(-1.0, 1.0, 3.0, 1.5, True), (-1.0, 2.0, 3.0, 2.0, False), (3.0, 0.0, 3.0, 5.0, False)], "a double, b double, c double, d double, e boolean")
-    assert s.where(graphs.crosses_polygon(F.col("a"), F.col("b"), F.col("c"), F.col("d"), square) != F.col("e")).count() == 0
+    rows = [(-1.0, 1.0, 3.0, 1.5, True), (-1.0, 2.0, 3.0, 2.0, False), (3.0, 0.0, 3.0, 5.0, False), (0.0, 0.0, 2.0, 2.0, True), (-1.0, 1.0, 1.0, 3.0, False), (0.5, 0.5, 1.5, 1.0, True), (9.0, 9.5, 11.0, 9.5, True)]
+    s = spark.createDataFrame(rows, "a double, b double, c double, d double, e boolean")
+    both = graphs.Obstacles([square, [(9.0, 9.0), (10.0, 9.0), (10.0, 10.0), (9.0, 10.0), (9.0, 9.0)]], 1e-9)
+    assert s.where(both.blocks(*map(F.col, "abcd")) != F.col("e")).count() == 0
+    near = spark.createDataFrame([(1.0, 1.0, True), (0.05, 1.0, False), (0.2, 1.0, True), (2.0, 1.0, False), (9.5, 9.5, True)], "x double, y double, e boolean")
+    assert near.where(graphs.Obstacles(both.polygons, 0.1).contains(F.col("x"), F.col("y")) != F.col("e")).count() == 0
+    assert spark.range(1).select(graphs.Obstacles([]).blocks(*[F.lit(0.0)] * 4).alias("b")).first().b is False
+    for bad in ([(0, 0), (1, 1)], [(0, 0), (0, 0), (1, 1), (1, 1)], [(0, 0), (1, float("nan")), (1, 1)]):
+        with pytest.raises(ValueError):
+            graphs.Obstacles([bad])
+
+
+def test_a_way_round_a_wall(spark):
+    """A grid of nine by nine with a wall: the way touches the wall's corners."""
+    side = 9
+    spots = {r * side + c: (float(c), float(r)) for r in range(side) for c in range(side)}
+    frame = spark.createDataFrame([(k, list(x)) for k, x in spots.items()], "id long, x array<double>")
+    wall = graphs.Obstacles([[(3.5, -1.0), (5.5, -1.0), (5.5, 6.5), (3.5, 6.5)]], 1e-9)
+    inside = wall.contains(F.get("x", F.lit(0)), F.get("x", F.lit(1)))
+    enclosed = {r.id for r in frame.where(inside).collect()}
+    assert len(enclosed) == 14
+
+    def open_ways(edges):
+        for end in "ab":
+            edges = edges.join(frame.select(F.col("id").alias(end), F.get("x", F.lit(0)).alias(f"{end}x"), F.get("x", F.lit(1)).alias(f"{end}y"), inside.alias(f"{end}in")), end)
+        return edges.where(~(F.col("ain") | F.col("bin") | wall.blocks(*map(F.col, ("ax", "ay", "bx", "by"))))).select("a", "b", "weight")
+
+    edges = graphs.neighbour_graph_by_distance(frame, 8, 1.5, open_ways).cache()
+    assert not {v for e in edges.collect() for v in (e.a, e.b)} & enclosed
+    paths = graphs.shortest_paths(frame.select("id"), edges, [4 * side]).cache()
+    assert paths.where(F.col("id") == 4 * side + 8).first().cost == pytest.approx(2 + 6 * 2**0.5, abs=1e-9)
+    assert len(graphs.route(paths, 4 * side + 8)) == 9
 
 
 @pytest.mark.parametrize("local", [True, False])
