@@ -147,6 +147,75 @@ LICENCES = (
     ("watcom", "Watcom-1.0", "sybase open watcom public licen[sc]e"),
     ("openrail", "LicenseRef-OpenRAIL", "(open ?rail( m)?|responsible ai) licen[sc]e"),
     ("llama", "LicenseRef-Llama", "llama( [23])?( community)? licen[sc]e"),
+    ("cc-sa-1.0", "CC-SA-1.0", "creative commons share ?alike 1 0", "creativecommons org licenses sa 1 0"),
+    ("cc-nc-1.0", "CC-NC-1.0", "creative commons non ?commercial 1 0", "creativecommons org licenses nc 1 0"),
+    ("cc-pdm-1.0", "CC-PDM-1.0", "public domain mark( 1 0)?", "creativecommons org publicdomain mark"),
+    ("etalab-2.0", "etalab-2.0", "(etalab|open) licence( version)? 2 0 etalab", "licence ouverte( version)?( 2 0)?"),
+    ("ogl-uk-3.0", "OGL-UK-3.0", "open government licen[sc]e( v| version )?3( 0)?", "nationalarchives gov uk doc open government licen[sc]e version 3"),
+    ("ogl-uk", "OGL-UK-2.0", "open government licen[sc]e"),
+    ("cdla-permissive-1.0", "CDLA-Permissive-1.0", "community data licen[sc]e agreement permissive( version)? 1 0"),
+    ("cdla-permissive-2.0", "CDLA-Permissive-2.0", "community data licen[sc]e agreement permissive( version)? 2 0"),
+    ("cdla-sharing-1.0", "CDLA-Sharing-1.0", "community data licen[sc]e agreement sharing"),
+    ("c-uda-1.0", "C-UDA-1.0", "computational use of data agreement"),
+    ("free-art-1.3", "LAL-1.3", "free art licen[sc]e( 1 3)?", "licence art libre"),
+    ("d-fsl-1.0", "D-FSL-1.0", "german free software licen[sc]e", "deutsche freie software lizenz"),
+    ("miros", "MirOS", "miros licen[sc]e"),
+    ("motosoto", "Motosoto", "motosoto open source licen[sc]e"),
+    ("multics", "Multics", "multics licen[sc]e"),
+    ("naumen", "Naumen", "naumen public licen[sc]e"),
+    ("nethack", "NGPL", "nethack general public licen[sc]e"),
+    ("nokia", "Nokia", "nokia open source licen[sc]e"),
+    ("ntp", "NTP", "ntp licen[sc]e"),
+    ("oclc-2.0", "OCLC-2.0", "oclc research public licen[sc]e"),
+    ("ogtsl", "OGTSL", "open group test suite licen[sc]e"),
+    ("rpsl-1.0", "RPSL-1.0", "realnetworks public source licen[sc]e"),
+    ("rscpl", "RSCPL", "ricoh source code public licen[sc]e"),
+    ("simpl-2.0", "SimPL-2.0", "simple public licen[sc]e( 2 0)?"),
+    ("sissl", "SISSL", "sun industry standards source licen[sc]e"),
+    ("spl-1.0", "SPL-1.0", "sun public licen[sc]e"),
+    ("vsl-1.0", "VSL-1.0", "vovida software licen[sc]e"),
+    ("xnet", "Xnet", "x net licen[sc]e"),
+    ("wxwindows", "wxWindows", "wxwindows library licen[sc]e"),
+    ("eudatagrid", "EUDatagrid", "eu datagrid software licen[sc]e"),
+    ("entessa", "Entessa", "entessa public licen[sc]e"),
+    ("fair", "Fair", "fair licen[sc]e", "usage of the works is permitted provided that this instrument is retained with the works"),
+    ("frameworx-1.0", "Frameworx-1.0", "frameworx open licen[sc]e"),
+    ("hpnd", "HPND", "historical permission notice and disclaimer"),
+    ("lucent-1.02", "LPL-1.02", "lucent public licen[sc]e( version)? 1 02"),
+    ("catosl-1.1", "CATOSL-1.1", "computer associates trusted open source licen[sc]e"),
+    ("efl-2.0", "EFL-2.0", "eiffel forum licen[sc]e( version)? 2"),
+    ("ncl", "LicenseRef-NCL", "non ?commercial use only", "for non ?commercial (purposes|research) only"),
+    ("aladdin", "Aladdin", "aladdin free public licen[sc]e"),
+    ("hippocratic-2.1", "Hippocratic-2.1", "hippocratic licen[sc]e( 2 1)?"),
+    ("parity-7.0", "Parity-7.0.0", "parity public licen[sc]e( 7 0)?"),
+    ("prosperity-3.0", "LicenseRef-Prosperity-3.0.0", "prosperity public licen[sc]e( 3 0)?"),
+    ("commons-clause", "LicenseRef-Commons-Clause", "commons clause( licen[sc]e)? condition"),
+    ("polyform-small", "PolyForm-Small-Business-1.0.0", "polyform small business licen[sc]e"),
+    ("polyform-shield", "LicenseRef-PolyForm-Shield-1.0.0", "polyform shield licen[sc]e"),
+    ("fsl-1.1", "FSL-1.1", "functional source licen[sc]e( version)?( 1 1)?"),
+    ("confluent", "LicenseRef-Confluent", "confluent community licen[sc]e"),
+    ("rsal", "LicenseRef-RSAL", "redis source available licen[sc]e"),
+    ("cua-opl-1.0", "CUA-OPL-1.0", "cua office public licen[sc]e"),
+    ("bittorrent-1.1", "BitTorrent-1.1", "bittorrent open source licen[sc]e"),
+    ("cern-ohl-p", "CERN-OHL-P-2.0", "cern open hardware licen[sc]e( version)?( 2)? permissive"),
+    ("cern-ohl-s", "CERN-OHL-S-2.0", "cern open hardware licen[sc]e( version)?( 2)? strongly reciprocal"),
+    ("cern-ohl-w", "CERN-OHL-W-2.0", "cern open hardware licen[sc]e( version)?( 2)? weakly reciprocal"),
+    ("cern-ohl", "CERN-OHL-1.2", "cern open hardware licen[sc]e"),
+    ("solderpad", "SHL-2.1", "solderpad hardware licen[sc]e"),
+    ("tapr-ohl", "TAPR-OHL-1.0", "tapr open hardware licen[sc]e"),
+    ("bitstream-vera", "Bitstream-Vera", "bitstream vera( fonts)? (licen[sc]e|copyright)"),
+    ("ubuntu-font", "LicenseRef-UFL-1.0", "ubuntu font licen[sc]e"),
+    ("gust-font", "GUST-Font-License", "gust font licen[sc]e"),
+    ("tcl", "TCL", "tcl( tk)? licen[sc]e"),
+    ("info-zip", "Info-ZIP", "info zip licen[sc]e"),
+    ("bzip2", "bzip2-1.0.6", "bzip2( and libbzip2)? licen[sc]e"),
+    ("libtiff", "libtiff", "libtiff licen[sc]e"),
+    ("hdf5", "LicenseRef-HDF5", "hdf5 (software library )?licen[sc]e"),
+    ("gemma", "LicenseRef-Gemma", "gemma terms of use"),
+    ("falcon", "LicenseRef-Falcon", "falcon llm licen[sc]e"),
+    ("deepseek", "LicenseRef-DeepSeek", "deepseek( model)? licen[sc]e( agreement)?"),
+    ("qwen", "LicenseRef-Qwen", "(tongyi )?qwen( research)? licen[sc]e agreement"),
+    ("mistral-research", "LicenseRef-MNPL", "mistral ai( non production| research) licen[sc]e"),
     ("proprietary", "LicenseRef-Proprietary", "all rights reserved", "proprietary and confidential"),
 )
 
