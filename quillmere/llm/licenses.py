@@ -323,11 +323,15 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     for need in sets:
         anchored = anchored | reduce(and_, (low.contains(x) for x in need))
     anchored = anchored | F.col("text").rlike(short)
-    # one constant for the optimiser to fold, instead of thousands of literals to build
-    text = json.dumps([{"priority": i, "label": label, "pattern": pattern, "key": key, "confidence": confidence} for i, (label, pattern, key, confidence) in enumerate(table)])
-    rule = F.from_json(F.lit(text), "array<struct<priority: int, label: string, pattern: string, key: string, confidence: double>>")
+    # one constant for the optimiser to fold, instead of thousands of literals to build; each keyword is sought once for all its rules
+    by_key: dict[str, list[dict]] = {}
+    for i, (label, pattern, key, confidence) in enumerate(table):
+        by_key.setdefault(key, []).append({"priority": i, "label": label, "pattern": pattern, "confidence": confidence})
+    text = json.dumps([{"key": key, "rules": own} for key, own in by_key.items()])
+    keyed = F.from_json(F.lit(text), "array<struct<key: string, rules: array<struct<priority: int, label: string, pattern: string, confidence: double>>>>")
     found = found.withColumn("_low", F.when(anchored, low))
-    found = found.withColumn("_rules", F.when(F.col("_low").isNotNull(), F.filter(rule, lambda r: F.contains(F.col("_low"), r["key"]))))
+    chosen = F.flatten(F.transform(F.filter(keyed, lambda k: F.contains(F.col("_low"), k["key"])), lambda k: k["rules"]))
+    found = found.withColumn("_rules", F.when(F.col("_low").isNotNull(), chosen))
 
     def matches(r: Column) -> Column:
         return F.transform(spans("text", r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
