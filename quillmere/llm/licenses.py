@@ -255,9 +255,13 @@ def _literals(pattern: str) -> list[str]:
     return [x for x in out if x]
 
 
+#: Words of so many names that they tell rules apart badly.
+_COMMON = ("licen", "public", "general", "software", "source", "version")
+
+
 def _keyword(pattern: str) -> str:
-    """The longest of the literal runs."""
-    return max(_literals(pattern), key=len)
+    """The longest of the literal runs, a word of few names where there is one."""
+    return max(_literals(pattern), key=lambda x: (x not in _COMMON and len(x) > 1, len(x)))
 
 
 def _edge(body: str) -> str:
