@@ -171,6 +171,21 @@ def test_all_pairs(spark, tile):
     assert distances.pairs(frame(spark, x).limit(0)).count() == 0
 
 
+def test_all_pairs_without_a_shuffle(spark):
+    x = np.concatenate([RNG.normal(0, 1, (70, 3))] * 3)
+    x[5], x[75] = 0.0, -0.0
+    ids = np.concatenate([np.arange(209), [208]])  # the last id twice
+    rows = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in zip(ids, x)], "id long, x array<double>")
+    want = sorted((int(ids[i]), int(ids[j]), *map(float, (d := distances.squared_block(x[i : i + 1], x[j : j + 1])[0, 0], np.sqrt(d)))) for i in range(210) for j in range(210) if ids[i] < ids[j])
+    kept = distances.pairs(rows, 64)
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    for found in (kept, distances.pairs(rows, 64, block_cells=1)):
+        assert sorted(map(tuple, found.collect())) == want
+    # equal samples stand side by side: rows of their pairs repeat at once
+    d = np.array([r.d for r in distances.pairs(rows.where("id < 70 or id between 140 and 207")).collect()])
+    assert len(set(d[:134].tolist())) < 75
+
+
 def test_blocked_by_a_function(spark):
     f = line(spark, 0, 1, 3, 7)
     assert edges(graphs.neighbour_graph_by_distance(f, 1, blocked=lambda e: e.where("a <> 1 or b <> 2"))) == [(0, 1, 1.0), (2, 3, 4.0)]
