@@ -3,7 +3,7 @@
 Features: the classical map is an unwhitened principal-component map, so no n x n
 matrix exists.  Stress and each majorisation step are sums over tiles of pairs, each
 pair worked out once: wanted distances come from broadcast features, or from
-the stored tiles of a distance table.  Only n x k maps and sums reach the driver.
+the tiles of a distance table, stored or worked out from its samples.  Only n x k maps and sums reach the driver.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import Note, frame_of, matrix, measure, stored
-from .distances import squared_rows
+from .distances import SIDE, alike, corner, squared_block, squared_rows, triangle
 from .linalg import canonical_signs, leading_eigen, lists_of, symmetric_eigen
 
 #: Tolerance of the eigen solve, share of the first eigenvalue that is nothing, spare eigenpairs.
@@ -29,6 +30,8 @@ LOCAL_ROWS = 2_000
 TILE, STORED_TILE = 512, 1024
 #: Rows of a tile that one numpy pass works on: its arrays stay in a core's cache.
 STRIP = 64
+#: Cells that one task works out from samples, about.
+TASK_CELLS = 40_000_000
 #: Samples of a distance table: their ids are kept on the driver.
 MOST_SAMPLES = 4_000_000
 #: Share of the largest samples' size below which a squared distance is measured exactly.
@@ -101,15 +104,46 @@ class Features:
 
 
 class DistanceTable:
-    """A checked symmetric table of distances, stored in tiles of pairs (a, b, cells) with a <= b; both halves averaged."""
+    """A checked symmetric table of distances, in tiles of pairs (a, b, cells) with a <= b: stored, both halves averaged,
+    or numbered alone and worked out from samples each time.  ``first`` has of each sample the first at distance zero by its row."""
 
-    def __init__(self, ids: np.ndarray, tiles: DataFrame, tile: int):
-        self.ids, self.tiles, self.tile = ids, tiles, tile
+    def __init__(self, ids: np.ndarray, tiles: DataFrame, tile: int, values: Broadcast | None = None, first: np.ndarray | None = None):
+        self.ids, self.tiles, self.tile, self.values, self.first = ids, tiles, tile, values, first
 
     @property
     def rows(self) -> int:
         return len(self.ids)
 
+    @staticmethod
+    def between(frame: DataFrame, tile_rows: int = SIDE) -> DistanceTable:
+        """The Euclidean distances of samples (id, x): no cell is stored or shuffled.  Equal samples stand side by side."""
+        measure(frame, 1, check_ids=True)
+        ids, values = matrix(frame)
+        first = alike(values)
+        order = np.argsort(first, kind="stable")
+        ids, values, first = ids[order], values[order], np.searchsorted(first[order], first[order])
+        spark, side = frame.sparkSession, -(-len(ids) // tile_rows)
+        tiles = triangle(spark, side, max(3 * spark.sparkContext.defaultParallelism, len(ids) ** 2 // TASK_CELLS))
+        return DistanceTable(ids, tiles, tile_rows, spark.sparkContext.broadcast(values), first)
+
+    @property
+    def opened(self) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, Callable[[slice], np.ndarray]]]]:
+        """Of a batch of tiles the places of both sides, and what gives the cells of some rows."""
+        n, tile, source = self.rows, self.tile, self.values
+
+        def stored_cells(batch: pa.RecordBatch):
+            for a, b, cells in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("cells")):
+                i, j = _sides(a, b, tile, n)
+                yield i, j, np.frombuffer(cells.as_buffer()).reshape(len(i), len(j)).__getitem__
+
+        def measured(batch: pa.RecordBatch):
+            for number in batch.column("id").to_pylist():
+                i, j = _sides(*corner(number), tile, n)
+                u, v = source.value[i], source.value[j]
+                yield i, j, lambda place, u=u, v=v: _apart(u[place], v)
+
+        return stored_cells if source is None else measured
+
     @staticmethod
     def of(cells: DataFrame, tile_rows: int = STORED_TILE) -> DistanceTable:
         """From cells (i, j, d): a full table, finite, not negative, symmetric, with a zero diagonal; anything else is refused."""
@@ -195,13 +229,13 @@ class DistanceTable:
 
     def over_pairs(self, kernel: Kernel, width: int) -> np.ndarray:
         """Sums of the kernel over all tiles, (rows, width)."""
-        n, tile = self.rows, self.tile
+        n, opened = self.rows, self.opened
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n, width))
             for batch in batches:
-                for a, b, d in _tiles(batch, n, tile):
-                    _add(total, kernel, a, b, lambda _, place, d=d: d[place])
+                for a, b, cells in opened(batch):
+                    _add(total, kernel, a, b, lambda _, place, cells=cells: cells(place))
             yield from _blocks(total)
 
         return _gathered(self.tiles.mapInArrow(run, _SUMS), n, width)
@@ -215,21 +249,22 @@ class DistanceTable:
         """The whole table on the driver."""
         out = np.zeros((self.rows, self.rows))
         for batch in self.tiles.toArrow().to_batches():
-            for a, b, d in _tiles(batch, self.rows, self.tile):
+            for a, b, cells in self.opened(batch):
+                d = cells(slice(None))
                 out[np.ix_(a, b)], out[np.ix_(b, a)] = d, d.T
         return out
 
     def cells(self, name: str = "d", centred: bool = False) -> DataFrame:
         """(i, j, value) of all cells: distances, or minus half their squares centred by row, column and grand means."""
         row, grand = self.means() if centred else (np.zeros(0), 0.0)
-        n, tile, shared = self.rows, self.tile, self.tiles.sparkSession.sparkContext.broadcast((self.ids, row))
+        opened, shared = self.opened, self.tiles.sparkSession.sparkContext.broadcast((self.ids, row))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, row = shared.value
             for batch in batches:
-                for a, b, d in _tiles(batch, n, tile):
-                    for s in range(0, len(a), 64):
-                        own, v = a[s : s + 64], d[s : s + 64]
+                for a, b, cells in opened(batch):
+                    for s in range(0, len(a), STRIP):
+                        own, v = a[s : s + STRIP], cells(slice(s, s + STRIP))
                         if centred:
                             v = -0.5 * (v * v - row[own][:, None] - row[b][None, :] + grand)
                         i, j = np.broadcast_to(ids[own][:, None], v.shape).ravel(), np.broadcast_to(ids[b][None, :], v.shape).ravel()
@@ -245,10 +280,13 @@ _SUMS = "block long, v array<double>"
 _BLOCK_ROWS = 4096
 
 
-def _tiles(batch: pa.RecordBatch, n: int, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for a, b, cells in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("cells")):
-        i, j = (np.arange(k * tile, min((k + 1) * tile, n)) for k in (a, b))
-        yield i, j, np.frombuffer(cells.as_buffer()).reshape(len(i), len(j))
+def _sides(a: int, b: int, tile: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.arange(k * tile, min((k + 1) * tile, n)) for k in (a, b))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of two blocks of rows; of single values without squares."""
+    return np.abs(np.subtract.outer(x[:, 0], y[:, 0])) if x.shape[1] == 1 else np.sqrt(squared_block(x, y))
 
 
 def _add(total: np.ndarray, kernel: Kernel, a: np.ndarray, b: np.ndarray, wanted: Callable[[np.ndarray, slice], np.ndarray]) -> None:

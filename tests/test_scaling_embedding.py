@@ -1,11 +1,12 @@
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmere.functions.frames import frame_of
-from quillmere.operators import scaling
+from quillmere.operators import distances, scaling
 from quillmere.operators.embedding import AutoMethod, EmbeddingMethod, EmbeddingOutcome, EmbeddingQuery, EmbedOptions, PrincipalComponentsMethod, ScalingMethod, SpectralMethod, embed
 
 RNG = np.random.default_rng(5)
@@ -160,6 +161,35 @@ def test_tables_of_many_tiles(spark):
             scaling.DistanceTable.of(wrong, 16)
 
 
+def test_tables_worked_out_from_samples(spark):
+    for width in (1, 3):
+        x = np.concatenate([RNG.normal(0, 1, (30, width))] * 2)
+        ids = RNG.permutation(60) * 5 - 90
+        rows = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in zip(ids, x)], "id long, x array<double>").repartition(3)
+        d = {(int(i), int(j)): float(np.sqrt(distances.squared_block(x[a : a + 1], x[b : b + 1])[0, 0])) for a, i in enumerate(ids) for b, j in enumerate(ids)}
+        table = scaling.DistanceTable.between(rows, 16)
+        assert {(r.i, r.j): r.d for r in table.cells().collect()} == d
+        np.testing.assert_array_equal(table.matrix(), [[d[i, j] for j in table.ids.tolist()] for i in table.ids.tolist()])
+        centred = scaling.double_centre(table)
+        plan = centred._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "FileScan" not in plan
+        cells = spark.createDataFrame([(i, j, v) for (i, j), v in d.items()], "i long, j long, d double")
+        want = {(r.i, r.j): r.b for r in scaling.double_centre(cells).collect()}
+        got = {(r.i, r.j): r.b for r in centred.collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+    for wrong in (rows.limit(0), rows.unionByName(rows.limit(1)), rows.withColumn("x", F.array(F.lit(math.nan)))):
+        with pytest.raises(ValueError):
+            scaling.DistanceTable.between(wrong)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no tables")
+def test_centring_stores_and_shuffles_no_cells(spark):
+    from quillmere.plans.queries import QUERIES
+
+    plan = QUERIES["mds_double_centre"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan" not in plan
+
+
 def test_dense_ids_are_a_bijection(spark):
     from quillmere.functions.frames import dense_ids
 
