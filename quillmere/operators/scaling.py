@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -504,8 +504,18 @@ def _centred_product(table: DistanceTable, row: np.ndarray, grand: float) -> Cal
 
 
 def from_distances(cells: DataFrame | DistanceTable, options: ScalingOptions = ScalingOptions(), local: bool | None = None) -> ScalingResult:
-    """A map of a distance table (i, j, d).  Large tables stay in stored tiles on the executors."""
+    """A map of a distance table (i, j, d), in the order of the ids.  Large tables stay in tiles on the executors.
+
+    Samples that a table knows to be equal get one place: their rows are the same, so they part by rounding alone.
+    """
     table = cells if isinstance(cells, DistanceTable) else DistanceTable.of(cells)
+    found = _from_table(table, options, local)
+    x = found.coordinates if table.first is None else found.coordinates[table.first]
+    order = np.argsort(found.ids)
+    return replace(found, ids=found.ids[order], coordinates=x[order], distortion=found.distortion[order])
+
+
+def _from_table(table: DistanceTable, options: ScalingOptions, local: bool | None) -> ScalingResult:
     spark, ids, n, k = table.tiles.sparkSession, table.ids, table.rows, options.dimensions
     options.validate(n)
     targets = Targets(spark, n, table=table, local=local)

@@ -182,6 +182,18 @@ def test_tables_worked_out_from_samples(spark):
             scaling.DistanceTable.between(wrong)
 
 
+def test_maps_of_tables_worked_out_from_samples(spark, monkeypatch):
+    x = np.concatenate([RNG.normal(0, 9, (40, 1))] * 3)
+    rows = frame(spark, x).repartition(3)
+    monkeypatch.setattr(scaling, "stored", None)  # no cell is written
+    for local in (True, False):
+        r = scaling.from_distances(scaling.DistanceTable.between(rows, 16), scaling.ScalingOptions(1), local=local)
+        np.testing.assert_array_equal(r.ids, np.arange(120))
+        np.testing.assert_allclose(apart(r.coordinates), apart(x), atol=1e-7)
+        # equal samples share one place, to the last digit
+        assert len(np.unique(r.coordinates)) == 40
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no tables")
 def test_centring_stores_and_shuffles_no_cells(spark):
     from quillmere.plans.queries import QUERIES
