@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,15 @@ def test_all_pairs_without_a_shuffle(spark):
     assert len(set(d[:134].tolist())) < 75
 
 
+def test_pairs_of_equal_samples_are_stored_small(spark):
+    x = np.concatenate([np.random.default_rng(12).normal(0, 1, (1000, 8))] * 2)
+    d = distances.pairs(frame(spark, x)).select("d").toArrow().column("d").to_numpy()
+    assert len(d) == 2000 * 1999 // 2
+    # pages as Parquet makes them; a distance occurs four times, so that two bytes a row are the least
+    pages = [len(pa.compress(d[k : k + 20_000].tobytes(), "snappy", asbytes=True)) for k in range(0, len(d), 20_000)]
+    assert sum(pages) < 2.6 * len(d)
+
+
 def test_blocked_by_a_function(spark):
     f = line(spark, 0, 1, 3, 7)
     assert edges(graphs.neighbour_graph_by_distance(f, 1, blocked=lambda e: e.where("a <> 1 or b <> 2"))) == [(0, 1, 1.0), (2, 3, 4.0)]
